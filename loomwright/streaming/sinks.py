@@ -1,0 +1,22 @@
+"""Append sinks that can be resumed: rows whose key has been written are not written again."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def append_new(rows: DataFrame, path: str, key: str) -> None:
+    """Append the rows whose key the table at ``path`` doesn't have yet, one for each key."""
+    spark, fresh = rows.sparkSession, rows.dropDuplicates([key])
+    try:
+        done = spark.read.parquet(path).select(key)
+    except AnalysisException:
+        done = None
+    (fresh if done is None else fresh.join(done, key, "left_anti")).write.mode("append").parquet(path)
+
+
+def stream_new(rows: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Process what a streaming source has, appending only new keys; a restart goes on at the checkpoint."""
+    return rows.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
