@@ -18,6 +18,8 @@ from .textbytes import U64, mix, sequence_hash, words_of
 #: with probability (1 - 0.85**8)**40, about 3e-6.
 WIDTH, BINS, ROWS = 5, 320, 8
 BANDS = BINS // ROWS
+#: How many members of a bucket become centres of stars, round by round; in the last round all that are left.
+CENTRES = (1, 16, None)
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -103,11 +105,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Rows with equal shingle sets form one class; only classes are compared. Each class goes to one bucket per
-    band; the bucket's first class (in a random order) is the centre of a star, and each candidate edge of the
-    star is confirmed on the full sets. What the stars left in different components is taken up again: the next
-    classes of the bucket become centres, four times as many each round, until every pair of a bucket has been
-    confirmed, refuted, or lies in one component. So a group of n copies costs n edges, and no link within a
-    bucket is lost.
+    band; one class of the bucket is the centre of a star, and each candidate edge of the star is confirmed on
+    the full sets. What the stars left in different components is taken up again with the next classes of the
+    bucket as centres, until every pair of a bucket has been confirmed, refuted, or lies in one component. So a
+    group of n copies costs n edges, and no link within a bucket is lost.
+
+    Shingles that no other class in any bucket has bound what a class can share with another. A pair whose bound
+    is too low is refuted without comparing its sets; it is what keeps altered copies that are not alike enough
+    from being compared with each other. Classes with the fewest such shingles, the likely originals, become
+    centres first.
 
     Null or empty texts, and texts of white space only, have no set and stay alone. A text of fewer than
     ``width`` words has its word sequence as its one shingle. Repeated rows each appear in the result, in the
@@ -120,36 +126,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     classes = some.groupBy("class").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("reader"))
     placed = classes.select(F.col("class").alias("node"), "n", F.posexplode("bands").alias("band", "key"))
     full = placed.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-    order = Window.partitionBy("band", "key").orderBy(F.xxhash64("node", "band"), "node")
-    members = stored(placed.join(full, ["band", "key"]).withColumn("rank", F.row_number().over(order) - 1), "buckets")
-    wanted = members.select("node").distinct()
+    buckets = stored(placed.join(full, ["band", "key"]), "buckets")
+    wanted = buckets.select("node").distinct()
     readers = classes.join(wanted, classes["class"] == wanted["node"]).select("reader").distinct()
     texts = slim.join(readers, slim["doc_id"].eqNullSafe(readers["reader"]), "left_semi")
     sets = stored(texts.mapInArrow(_sets(width), "node binary, shingles array<long>"), "sets")
 
-    links, tried, root = None, None, None
-    first, centres = 0, 1
-    while True:
+    # what a class can have in common with any other: its shingles less those that no other class in a bucket has
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    lone = held.where("holders = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    order = Window.partitionBy("band", "key").orderBy(F.desc(F.col("most") / F.col("n")), F.xxhash64("node", "band"), "node")
+    members = buckets.join(lone, "node", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    members = stored(members.where(F.col("most") * 100 >= F.col("n") * percent).withColumn("rank", F.row_number().over(order) - 1), "members")
+
+    tried, root, first = None, None, 0
+    for centres in CENTRES:
         state = members if root is None else members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        heads = state.where((F.col("rank") >= first) & (F.col("rank") < first + centres))
-        a, b = heads.alias("a"), state.where(F.col("rank") > first).alias("b")
-        near = (F.col("a.rank") < F.col("b.rank")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        heads = state if centres is None else state.where(F.col("rank") < first + centres)
+        a, b = heads.where(F.col("rank") >= first).alias("a"), state.where(F.col("rank") > first).alias("b")
+        common = F.least("a.most", "b.most")
+        near = (F.col("a.rank") < F.col("b.rank")) & (100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
         if root is not None:
             near = near & (F.col("a.root") != F.col("b.root"))
         pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & near)
         pairs = pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty() and root is not None:
+            first += centres or 0
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = stored(_verified(pairs, sets, percent), "links")
-        grew = not new.isEmpty()
-        if grew:
-            links = new if links is None else links.unionByName(new)
-            root = stored(connected_components(links), "roots")
-        first, centres = first + centres, centres * 4
-        if _settled(members, root, first, percent):
-            break
+        if not new.isEmpty():
+            known = new if root is None else new.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            root = stored(connected_components(known), "roots")
+        first += centres or 0
 
     if root is None:
         named = some.groupBy("class").agg(F.min("doc_id").alias("component"))
@@ -159,12 +169,3 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
         named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component")), "root").select("class", "component")
     out = signed.drop("bands").join(named, "class", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _settled(members: DataFrame, root: DataFrame | None, first: int, percent: int) -> bool:
-    """Whether what each bucket holds from rank ``first`` on lies in one component."""
-    left = members.where(F.col("rank") >= first).groupBy("band", "key").agg(F.count("*").alias("k")).where("k > 1").select("band", "key")
-    if root is None:
-        return left.isEmpty()
-    state = members.where(F.col("rank") >= first).join(left, ["band", "key"], "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return state.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").isEmpty()
