@@ -217,9 +217,14 @@ _ISSUES = f"with {ctes('records')}, broken as ({_BROKEN}), i as (select rid, unn
 _SPLIT = "split_part('sft,reward,eval_heldout', ',', (doc_id % 3)::int + 1)"
 _NEAR = f"""
 with n as materialized (select doc_id, {_SPLIT} as split, {_NORM('text')} as norm from documents),
-s as materialized (select *, length(norm) as len, case when length(norm) <= 5 then list_distinct(string_split(norm, '')) else list_distinct(list_transform(range(1, length(norm) - 3), lambda i: substr(norm, i, 5))) end as grams from n where norm <> ''),
-p as (select a.doc_id as a_id, b.doc_id as b_id, a.split as a_split, b.split as b_split, a.norm as an, b.norm as bn, a.len as al, b.len as bl, a.grams as ag, b.grams as bg from s a join s b on a.doc_id < b.doc_id
-  and (a.norm = b.norm or least(len(a.grams), len(b.grams)) >= 0.88 * greatest(len(a.grams), len(b.grams)) or least(a.len, b.len) >= 0.88 * greatest(a.len, b.len))),
+ch as (select doc_id, unnest(string_split(norm, '')) as c, unnest(range(length(norm))) as pos, length(norm) as len from n where norm <> ''),
+gr as (select doc_id, pos, len, case when len <= 5 then c else concat(c, lead(c, 1) over w, lead(c, 2) over w, lead(c, 3) over w, lead(c, 4) over w) end as g from ch window w as (partition by doc_id order by pos)),
+gl as materialized (select doc_id, list(distinct g) as grams from gr where len <= 5 or pos <= len - 5 group by doc_id),
+s as materialized (select n.*, length(norm) as len, grams from n join gl on n.doc_id = gl.doc_id),
+i as materialized (select doc_id, len, len(grams) as size, norm, list_sort(grams)[1:(len(grams) - ceil(0.88 * len(grams) - 1e-9) + 1)::bigint] as pre from s),
+q as (select a.doc_id as a_id, b.doc_id as b_id from i a join i b on a.doc_id < b.doc_id and (a.norm = b.norm or (least(a.size, b.size) >= 0.88 * greatest(a.size, b.size) and list_has_any(a.pre, b.pre))
+  or (least(a.len, b.len) >= 0.88 * greatest(a.len, b.len) and (case when a.len <= b.len then contains(b.norm, a.norm) else contains(a.norm, b.norm) end)))),
+p as (select q.a_id, q.b_id, a.split as a_split, b.split as b_split, a.norm as an, b.norm as bn, a.len as al, b.len as bl, a.grams as ag, b.grams as bg from q join s a on q.a_id = a.doc_id join s b on q.b_id = b.doc_id),
 c as (select *, case when an = bn then 'normalized_exact' when least(al, bl) >= 24 and (case when al <= bl then contains(bn, an) else contains(an, bn) end) then 'normalized_containment' else 'char_5gram_jaccard' end as reason from p),
 k as (select *, case when reason = 'char_5gram_jaccard' then len(list_intersect(ag, bg)) else 0 end as common from c),
 f as (select *, case reason when 'normalized_exact' then 1.0 when 'normalized_containment' then least(al, bl) / greatest(al, bl) else common / (len(ag) + len(bg) - common) end::double as score from k)
