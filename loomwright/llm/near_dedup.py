@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,8 @@ WIDTH, BINS, ROWS = 5, 320, 8
 BANDS = BINS // ROWS
 #: How many members of a bucket become centres of stars, round by round; in the last round all that are left.
 CENTRES = (1, 16, None)
+#: Cells of the shingles' space in which two sets are compared by number before they are compared in full; a power of two.
+CELLS = 32
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -87,11 +89,16 @@ def _sets(width: int):
             sets = list(shingle_sets(batch.column(1), width))
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = pa.array((np.concatenate(sets) if sets else np.zeros(0, U64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(at), values)], ["node", "shingles"])
+            cells = pa.array([np.bincount((s % U64(CELLS)).astype(np.int64), minlength=CELLS) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(map(_class, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(at), values), cells], ["node", "shingles", "cells"])
 
     return run
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda n, x: n + x)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
@@ -110,10 +117,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     bucket as centres, until every pair of a bucket has been confirmed, refuted, or lies in one component. So a
     group of n copies costs n edges, and no link within a bucket is lost.
 
-    Shingles that no other class in any bucket has bound what a class can share with another. A pair whose bound
-    is too low is refuted without comparing its sets; it is what keeps altered copies that are not alike enough
-    from being compared with each other. Classes with the fewest such shingles, the likely originals, become
-    centres first.
+    Two sets share no more than the lesser of their counts in each cell of the shingles' space, shingles that no
+    other class in any bucket has left out. A pair whose bound is too low is refuted without comparing its sets;
+    it is what keeps altered copies that are not alike enough from being compared with each other. Classes with
+    the fewest shingles of their own, the likely originals, become centres first.
 
     Null or empty texts, and texts of white space only, have no set and stay alone. A text of fewer than
     ``width`` words has its word sequence as its one shingle. Repeated rows each appear in the result, in the
@@ -130,24 +137,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bins
     wanted = buckets.select("node").distinct()
     readers = classes.join(wanted, classes["class"] == wanted["node"]).select("reader").distinct()
     texts = slim.join(readers, slim["doc_id"].eqNullSafe(readers["reader"]), "left_semi")
-    sets = stored(texts.mapInArrow(_sets(width), "node binary, shingles array<long>"), "sets")
+    sets = stored(texts.mapInArrow(_sets(width), "node binary, shingles array<long>, cells array<int>"), "sets")
 
-    # what a class can have in common with any other: its shingles less those that no other class in a bucket has
+    # what a class can have in common with any other, by cells of the shingles' space: its shingles less those that no other class in a bucket has
     held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
-    lone = held.where("holders = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    lone = held.where("holders = 1").withColumn("cell", F.col("shingle").bitwiseAND(F.lit(CELLS - 1))).groupBy("node").agg(F.array(*(F.count_if(F.col("cell") == k).cast("int") for k in range(CELLS))).alias("lone"))
+    shared = sets.select("node", "cells").dropDuplicates(["node"]).join(lone, "node", "left").select("node", F.coalesce(F.zip_with("cells", "lone", lambda x, y: x - y), F.col("cells")).alias("cells"))
+    shared = shared.withColumn("most", _total(F.col("cells")))
     order = Window.partitionBy("band", "key").orderBy(F.desc(F.col("most") / F.col("n")), F.xxhash64("node", "band"), "node")
-    members = buckets.join(lone, "node", "left").withColumn("most", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-    members = stored(members.where(F.col("most") * 100 >= F.col("n") * percent).withColumn("rank", F.row_number().over(order) - 1), "members")
+    members = buckets.join(shared, "node").where(F.col("most") * 100 >= F.col("n") * percent).withColumn("rank", F.row_number().over(order) - 1)
+    members = stored(members, "members")
 
     tried, root, first = None, None, 0
     for centres in CENTRES:
         state = members if root is None else members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         heads = state if centres is None else state.where(F.col("rank") < first + centres)
         a, b = heads.where(F.col("rank") >= first).alias("a"), state.where(F.col("rank") > first).alias("b")
-        common = F.least("a.most", "b.most")
-        near = (F.col("a.rank") < F.col("b.rank")) & (100 * common >= percent * (F.col("a.n") + F.col("b.n") - common)) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+        near = (F.col("a.rank") < F.col("b.rank")) & (100 * F.least("a.most", "b.most") >= percent * F.greatest("a.n", "b.n"))
         if root is not None:
             near = near & (F.col("a.root") != F.col("b.root"))
+        common = _total(F.zip_with("a.cells", "b.cells", lambda x, y: F.least(x, y)))
+        near = near & ((100 + percent) * common >= percent * (F.col("a.n") + F.col("b.n")))
         pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & near)
         pairs = pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
