@@ -28,12 +28,14 @@ from pyspark.sql.window import Window
 
 from ..storage import new_path
 from .textbytes import U64, mix
-from .units import UnitEncoder
+from .units import encoder as shared_encoder
 
 END_ID = 2
 #: A shard is closed at so many tokens or documents.
 SHARD_TOKENS, SHARD_DOCS = 1 << 19, 1 << 16
 _HEAD = struct.Struct("<4sHHQQQQQ")
+#: Texts that are encoded together.
+_TEXTS = 500
 _MAGIC, _VERSION, _PER_BUCKET = b"LWTS", 1, 4
 _SHARDS = "part int, seq int, before long, n_tokens long, n_docs long, shard binary"
 
@@ -129,7 +131,7 @@ class Shard:
 
 def _write(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         width, part = encoder.dtype.itemsize, TaskContext.get().partitionId()
         end, keys, ids, held, seq, before = np.array([end_id], encoder.dtype).tobytes(), [], [], 0, 0, 0
 
@@ -141,8 +143,8 @@ def _write(tokenizer: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "before", "n_tokens", "n_docs", "shard"])
 
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                some = batch.slice(i, 1000)
+            for i in range(0, len(batch), _TEXTS):
+                some = batch.slice(i, _TEXTS)
                 texts = [x or "" for x in some.column(1).to_pylist()]
                 for key, own in zip(some.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     keys.append(key)

@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Units kept at once; beyond that the cache starts afresh.
-CACHE_UNITS = 400_000
+#: Units kept at once; beyond that only those of the texts at hand stay.
+CACHE_UNITS = 800_000
+#: Characters that Python and the tokenizer may take differently as white space.
+_DOUBTFUL = "᠎"
 #: Where a text with irregular white space can be cut: before a single space between two visible characters.
-_CUT = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
+_CUT = re.compile(rf"(?<=[^\s{_DOUBTFUL}])(?= [^\s{_DOUBTFUL}])")
+_ENDS = frozenset(".,;:!?")
+
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """The encoder of this process; tasks that a worker runs one after another share its cache."""
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(path)
+    return _encoders[path]
 
 
 class UnitEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of a byte-level BPE.
 
     Its pre-tokenizer never joins characters across a single space that stands between two visible characters,
-    so the pieces between such places are encoded on their own, each distinct piece once per worker.
+    nor a letter with a mark after it, so the pieces between such places are encoded on their own, each distinct
+    piece once while the cache holds it.
     """
 
     def __init__(self, path: str, units: int = CACHE_UNITS):
@@ -25,35 +40,49 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.units = units
+        #: Ids of units after a space; None for one that can't be told apart by spaces alone.
+        self.later: dict[str, bytes | None] = {}
+        self.marks = dict(zip(_ENDS, self._ids(list(_ENDS)), strict=True))
 
-    def _learn(self, cache: dict, wanted: set[str], lead: str) -> None:
-        """Have all of ``wanted`` in the cache."""
-        new = [x for x in wanted if x not in cache]
-        if len(cache) + len(new) > self.units:
-            cache.clear()
-            new = list(wanted)
-        for unit, encoded in zip(new, self.tokenizer.encode_batch_fast([lead + x for x in new], add_special_tokens=False), strict=True):
-            cache[unit] = np.array(encoded.ids, self.dtype).tobytes()
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        out = [array(kind, x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in out:
+                x.byteswap()
+        return [x.tobytes() for x in out]
 
-    @staticmethod
-    def _plain(unit: str) -> bool:
-        return bool(unit) and not (unit[0].isspace() or unit[-1].isspace() or unit[0] == "᠎" or unit[-1] == "᠎")
+    def _learn(self, units: set[str]) -> None:
+        later, whole, joined = self.later, [], []
+        for u in units:
+            if not u or u[0].isspace() or u[-1].isspace() or u[0] == _DOUBTFUL or u[-1] == _DOUBTFUL:
+                later[u] = None
+            elif u[-1] in _ENDS and u[:-1].isalpha():
+                joined.append(u)
+            else:
+                whole.append(u)
+        whole += {u[:-1] for u in joined}.difference(later, whole)
+        later.update(zip(whole, self._ids([" " + u for u in whole]), strict=True))
+        for u in joined:
+            later[u] = later[u[:-1]] + self.marks[u[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``dtype``."""
         split = [x.split(" ") for x in texts]
-        self._learn(self.later, {u for own in split for u in own[1:] if u}, " ")
-        self._learn(self.first, {own[0] for own in split}, "")
-        odd = {u for own in split for u in own if not self._plain(u)}
-        self._learn(self.pieces, {p for text, own in zip(texts, split, strict=True) if len(own) > 1 and not odd.isdisjoint(own) for p in _CUT.split(text)}, "")
-        later, out = self.later.__getitem__, []
-        for text, own in zip(texts, split, strict=True):
-            if len(own) > 1 and not odd.isdisjoint(own):
-                out.append(b"".join(map(self.pieces.__getitem__, _CUT.split(text))))
-            else:
-                out.append(self.first[own[0]] + b"".join(map(later, own[1:])))
-        return out
+        found = set().union(*(own[1:] for own in split))
+        missing = found.difference(self.later)
+        if len(self.later) + len(missing) > self.units:
+            self.later = {u: self.later[u] for u in found - missing}
+        self._learn(missing)
+        get, out = self.later.__getitem__, []
+        for k, own in enumerate(split):
+            try:
+                if len(own) > 1 and (not own[0] or own[0][-1].isspace() or own[0][-1] == _DOUBTFUL):
+                    raise TypeError
+                out.append(b"".join(map(get, own[1:])))
+            except TypeError:
+                split[k] = None
+                out.append(b"".join(self._ids(_CUT.split(texts[k]))))
+        first = iter(self._ids([own[0] for own in split if own is not None]))
+        return [ids if own is None else next(first) + ids for own, ids in zip(split, out, strict=True)]
