@@ -111,6 +111,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))
     pieces = placed.where("size > 0").select("number", "start", end.alias("end"), F.explode(blocks).alias("block"))
     words = F.least("end", (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
-    taken = pieces.join(uses, ["number", "block"]).groupBy("number", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
-    out = placed.join(taken, ["number", "start"], "left")
+    # the plan can't tell how many slots a source's row explodes into, so the join must not be left to its estimate
+    taken = pieces.join(uses.hint("merge"), ["number", "block"]).groupBy("number", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
+    out = placed.join(taken.hint("merge"), ["number", "start"], "left")
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
