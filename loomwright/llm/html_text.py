@@ -163,9 +163,9 @@ def main_text(source: str | None) -> str:
     """The article of a page: its blocks in page order, white space collapsed, joined by a space.
 
     Paths score by ``path_ratios``; those at or above half a standard deviation (or the best one) are content.
-    The article is the element named article or main that holds the most content, or else the deepest element
-    that holds nine tenths of it; all its text belongs to it but for menus, forms, adverts and the like. Where
-    the only such element is the body, only content paths and headings do.
+    Elements named article or main are the article, all of them, if they hold half of the content or more. Else it
+    is the lowest element that covers all content, and what stands around it (``_around``). All its text belongs
+    to it but for menus, forms, adverts and the like, and blocks off the content paths that consist of links alone.
     """
     if not source:
         return ""
@@ -187,37 +187,58 @@ def main_text(source: str | None) -> str:
             while k >= 0:
                 held[k] += size
                 k = page.elements[k].parent
-    named = [k for k, e in enumerate(page.elements) if e.tag in _MAIN and not dropped[k] and any(not dropped[x] and t.strip() for x, t in _below(page, k))]
-    if named:
-        top = max(named, key=lambda k: (held[k], -k))
-        while (up := page.elements[top].parent) > 0 and any(k == up for k in named):
-            top = up
+    filled = [False] * len(page.elements)
+    for element, _, text in page.pieces:
+        filled[element] |= bool(text.strip()) and not dropped[element]
+    for k in range(len(page.elements) - 1, 0, -1):
+        filled[page.elements[k].parent] |= filled[k]
+    named = {k for k, e in enumerate(page.elements) if e.tag in _MAIN and not dropped[k] and filled[k]}
+    nested = _inside(page, named, below=True)
+    if named and 2 * sum(held[k] for k in named if not nested[k]) >= held[0]:
+        inside = _inside(page, named)
+        linked: set[int] = set()
     else:
-        top = max((k for k, x in enumerate(held) if x >= 0.9 * held[0]), key=lambda k: (page.elements[k].path.count("/"), k))
-        if page.elements[top].tag in _INLINE | {"p"}:
-            top = page.elements[top].parent
-    strict = page.elements[top].tag in ("", "html", "body")
-    inside = [False] * len(page.elements)
+        top = max((k for k, x in enumerate(held) if x == held[0]), key=lambda k: (page.elements[k].path.count("/"), k))
+        inside = _inside(page, {_around(page, top, dropped)})
+        words = {block for element, block, text in page.pieces if text.strip() and not (page.elements[element].link and scores.get(page.elements[element].path, 0) < limit)}
+        linked = {block for _, block, _ in page.pieces} - words
     blocks: dict[int, list[str]] = {}
-    for k, e in enumerate(page.elements):
-        inside[k] = k == top or (e.parent >= 0 and inside[e.parent])
     for element, block, text in page.pieces:
-        e = page.elements[element]
-        if not inside[element] or dropped[element]:
-            continue
-        if strict and text.strip() and scores[e.path] < limit and not re.search(r"/h[1-6](/|$)", e.path):
-            continue
-        blocks.setdefault(block, []).append(text)
+        if inside[element] and not dropped[element] and block not in linked:
+            blocks.setdefault(block, []).append(text)
     joined = (" ".join("".join(own).split()) for own in blocks.values())
     return " ".join(x for x in joined if x)
 
 
-def _below(page: Page, top: int) -> Iterator[tuple[int, str]]:
-    inside = {top}
-    for k in range(top + 1, len(page.elements)):
-        if page.elements[k].parent in inside:
-            inside.add(k)
-    return ((element, text) for element, _, text in page.pieces if element in inside)
+def _inside(page: Page, tops: set[int], below: bool = False) -> list[bool]:
+    """Which elements are in one of ``tops``, itself counted unless ``below``."""
+    inside = [False] * len(page.elements)
+    for k, e in enumerate(page.elements):
+        inside[k] = (k in tops and not below) or (e.parent >= 0 and (inside[e.parent] or (below and e.parent in tops)))
+    return inside
+
+
+def _around(page: Page, top: int, dropped: list[bool]) -> int:
+    """The element around ``top`` that holds the leads, headings, lists and captions beside it.
+
+    It goes up as long as what an element adds isn't mostly links; up to the body only for a heading beside it.
+    """
+    words, links, heads = ([0] * len(page.elements) for _ in range(3))
+    for element, _, text in page.pieces:
+        e = page.elements[element]
+        if not dropped[element] and (size := len(text.strip())):
+            words[element] += size
+            links[element] += size * e.link
+            heads[element] += size * bool(re.search(r"/h[1-6](/|$)", e.path))
+    for k in range(len(page.elements) - 1, 0, -1):
+        for sums in (words, links, heads):
+            sums[page.elements[k].parent] += sums[k]
+    while (up := page.elements[top].parent) > 0 and page.elements[up].tag != "html":
+        added = words[up] - words[top]
+        if 2 * (links[up] - links[top]) > added or (page.elements[up].tag == "body" and added and heads[up] == heads[top]):
+            break
+        top = up
+    return top
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
