@@ -14,6 +14,7 @@ BLOCK_WORDS, SHARD_BLOCKS, RUNS = 64, 4096, 1024
 #: Sources up to which their table is broadcast; beyond, Spark joins it by shuffle.
 BROADCAST_SOURCES = 50_000
 _PIECE = 1 << 16
+_WORD = r"[^\x20\x09-\x0D]+"
 #: Primes above 2**30 and below 2**31: coprime to every smaller number of blocks.
 _PRIMES = (1073741827, 1276401053, 1610612741, 2147483647)
 
@@ -54,12 +55,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def shard_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(shard, number, slot, block): which block of which source goes where.
+    """(shard, slot, number, block): which block of which source stands at which slot of which output shard.
 
-    A source's quota is its target in blocks. The shards' source counts are drawn multinomially without
-    replacement from the urn of all quotas, by a pseudorandom permutation of all slots that is cut into shards: each
-    shard's counts are random, and over all shards they meet the quotas exactly. A source's slots go through its
-    blocks by one pseudorandom permutation after another, so a block is used as often as any other, or once more.
+    A source's quota is its target in blocks. Each shard draws its source counts from the urn of all quotas without
+    replacement: all draws are ranked by pseudorandom keys and every ``shard_blocks`` of them make a shard. So a
+    shard's counts are multivariate hypergeometric and meet the quotas exactly over all shards. A source's draws
+    go through its blocks by one pseudorandom permutation after another, so a block is used as often as any other,
+    or once more. Ranks come from counts per range of keys, so that no task sees all draws.
     """
     quotas = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     quotas = quotas.withColumn("quota", F.least(F.round(F.col("target") / block_words).cast("long"), 2 * F.col("blocks")))
@@ -70,8 +72,15 @@ def shard_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks
     slots = spread.select("number", "blocks", "first", "total", F.explode(F.sequence(F.col("piece") * _PIECE, last)).alias("slot"))
     epoch = F.floor(F.col("slot") / F.col("blocks"))
     block = permuted(F.col("slot") - epoch * F.col("blocks"), F.col("blocks"), F.col("number"), epoch)
-    shard = F.floor(permuted(F.col("first") + F.col("slot"), F.col("total"), F.lit(-1)) / shard_blocks)
-    return slots.select(shard.alias("shard"), "number", "slot", block.alias("block"))
+    drawn = slots.select("number", block.alias("block"), "total", F.xxhash64("number", "slot", F.lit("shard")).alias("draw"), "slot")
+    ranges = F.ceil(F.col("total") / shard_blocks).cast("long")
+    drawn = drawn.withColumn("range", F.floor(F.shiftrightunsigned("draw", 32) * ranges / float(1 << 32)))
+    sums = drawn.groupBy("range").agg(F.count("*").alias("n"))
+    begun = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("begun"))
+    order = Window.partitionBy("range").orderBy(F.shiftrightunsigned("draw", 32), "draw", "number", "slot")
+    rank = F.col("begun") + F.row_number().over(order) - 1
+    ranked = drawn.join(begun.hint("merge"), "range").select("number", "block", rank.alias("rank"))
+    return ranked.select(F.floor(F.col("rank") / shard_blocks).alias("shard"), (F.col("rank") % shard_blocks).cast("long").alias("slot"), "number", "block")
 
 
 def packed(sized: DataFrame, runs: int = RUNS) -> DataFrame:
@@ -87,31 +96,62 @@ def packed(sized: DataFrame, runs: int = RUNS) -> DataFrame:
     return rows.join(begun, ["number", "run"]).withColumn("start", F.col("begun") + F.sum("size").over(order) - F.col("size")).drop("run", "begun")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(doc_id, source, text_hash, size, source_size, target, taken) for each row of ``docs`` (doc_id, text, source; other columns are ignored).
-
-    Each source's words are packed into blocks of ``block_words`` (the last may be shorter), slots of the output
-    shards are dealt to blocks (``shard_slots``), and slots and documents are joined by the index of the block.
-    ``taken`` counts the words of the document that the mix uses, repeats included. Pseudorandom choices hash
-    fixed numbers, so reruns agree.
-
-    A null text has size 0 and is never taken; a null source is a source, the last one; repeated rows are packed
-    one after another. Sources without words have target 0, and an empty table gives an empty result.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """The table of sources with their targets, and the rows with the place of their words in their source's stream."""
+    size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
     sized = stored(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), size.alias("size")), "sizes")
     sources = stored(source_targets(sized, weights, share, most), "targets")
     small = sources.count() <= BROADCAST_SOURCES
     known = sources.withColumnRenamed("source", "of")
     known = F.broadcast(known) if small else known
-    placed = packed(sized.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
-    placed = stored(placed, "placed")
-    uses = shard_slots(sources, block_words, shard_blocks).groupBy("number", "block").agg(F.count("*").alias("uses"))
+    return sources, stored(packed(sized.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")), "placed")
+
+
+def _blocks(sources: DataFrame, placed: DataFrame, block_words: int, shard_blocks: int) -> DataFrame:
     end = F.col("start") + F.col("size")
     blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))
-    pieces = placed.where("size > 0").select("number", "start", end.alias("end"), F.explode(blocks).alias("block"))
-    words = F.least("end", (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
+    pieces = placed.where("size > 0").select("number", "source", "doc_id", "text_hash", "start", end.alias("end"), F.explode(blocks).alias("block"))
+    begin = F.greatest("start", F.col("block") * block_words)
+    words = F.least("end", (F.col("block") + 1) * block_words) - begin
+    segment = F.struct("start", "doc_id", "text_hash", (begin - F.col("start")).alias("first"), words.alias("words"))
+    filled = pieces.groupBy("number", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(segment)).alias("segments"))
     # the plan can't tell how many slots a source's row explodes into, so the join must not be left to its estimate
-    taken = pieces.join(uses.hint("merge"), ["number", "block"]).groupBy("number", "start").agg(F.sum(words * F.col("uses")).alias("taken"))
+    dealt = filled.join(shard_slots(sources, block_words, shard_blocks).hint("merge"), ["number", "block"])
+    return stored(dealt.select("shard", "slot", "number", "source", "block", "segments"), "mixed")
+
+
+def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(shard, slot, number, source, block, segments): the mix, a row for each slot of each output shard.
+
+    ``segments`` are the pieces of documents in the block, in order: where the document starts in its source's
+    stream, doc_id, text_hash, the first word taken and the number of words. ``block_texts`` adds the words.
+    """
+    return _blocks(*_placed(docs, weights, share, most), block_words, shard_blocks)
+
+
+def block_texts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(shard, slot, source, text): the words of ``mixed_blocks(docs)``, single spaces between them."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("all")).dropDuplicates(["doc_id", "text_hash"])
+    pieces = blocks.select("shard", "slot", "source", F.explode("segments").alias("s")).select("shard", "slot", "source", "s.*").withColumnsRenamed({"doc_id": "of", "text_hash": "hash"})
+    words = pieces.join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash")))
+    words = words.select("shard", "slot", "source", "start", F.array_join(F.slice("all", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ").alias("text"))
+    joined = words.groupBy("shard", "slot").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("start", "text"))).alias("s"))
+    return joined.select("shard", "slot", "source", F.array_join(F.col("s.text"), " ").alias("text"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(doc_id, source, text_hash, size, source_size, target, taken) for each row of ``docs`` (doc_id, text, source; other columns are ignored).
+
+    Each source's words are packed into blocks of ``block_words`` (the last may be shorter), the slots of the output
+    shards are drawn and dealt to blocks, and the mixed blocks are written by shard and slot (``mixed_blocks``).
+    ``taken`` counts the words of the document in the written blocks, repeats included. Pseudorandom choices hash
+    fixed numbers, so reruns agree.
+
+    A null text has size 0 and is never taken; a null source is a source, the last one; repeated rows are packed
+    one after another. Sources without words have target 0, and an empty table gives an empty result.
+    """
+    sources, placed = _placed(docs, weights, share, most)
+    used = _blocks(sources, placed, block_words, shard_blocks).select("number", F.explode("segments").alias("s"))
+    taken = used.groupBy("number", F.col("s.start").alias("start")).agg(F.sum("s.words").alias("taken"))
     out = placed.join(taken.hint("merge"), ["number", "start"], "left")
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))

@@ -16,7 +16,7 @@ from loomwright.llm import url_rules
 from loomwright.llm.decontaminate import contamination
 from loomwright.llm.html_text import extract_text, main_text
 from loomwright.llm.language import identify_languages
-from loomwright.llm.mixing import mix_sources
+from loomwright.llm.mixing import block_texts, mix_sources, mixed_blocks
 from loomwright.llm.near_dedup import near_duplicates
 from loomwright.llm.quality import quality_verdicts
 from loomwright.llm.secrets import scan_secrets, secret_spans
@@ -271,6 +271,29 @@ def test_mixing(docs, none):
     assert mix_sources(none).count() == 0
 
 
+def test_mixed_blocks_by_shard_and_slot(docs, none, spark):
+    blocks = mixed_blocks(docs, block_words=8, shard_blocks=50)
+    rows = blocks.collect()
+    shards = Counter(r.shard for r in rows)
+    assert len(shards) > 5 and all(shards[k] == 50 for k in range(len(shards) - 1)) and {(r.shard, r.slot) for r in rows} == {(k, i) for k, n in shards.items() for i in range(n)}
+    taken = Counter()
+    for r in rows:
+        for s in r.segments:
+            taken[s.doc_id, s.text_hash] += s.words
+    want = Counter()
+    for r in mix_sources(docs, block_words=8, shard_blocks=7).collect():
+        want[r.doc_id, r.text_hash] += r.taken
+    assert +want == taken
+    own = {(i, s) : SPACED.findall(t or "") for i, t, _, s, *_ in odd_rows()}
+    texts = {(r.shard, r.slot): r.text for r in block_texts(docs, blocks).collect()}
+    for r in rows:
+        assert texts[r.shard, r.slot].split(" ") == [w for s in r.segments for w in own[s.doc_id, r.source][s.first : s.first + s.words]]
+    assert mixed_blocks(none).count() == 0
+    even = spark.createDataFrame([(k, "w " * 64, "ab"[k % 2]) for k in range(8000)], "doc_id long, text string, source string")
+    counts = [r.n for r in mixed_blocks(even, weights=(1,), share=1.0, shard_blocks=100).where("number = 0").groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(counts) == 80 and sum(counts) == 4000 and 3.5 < np.std(counts) < 6.5
+
+
 def test_quality(docs, none):
     want = Counter()
     for i, text, *_ in odd_rows():
