@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.decontaminate import contamination
@@ -20,25 +20,41 @@ _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _row(doc_id: str = "doc_id", text_hash: Column | None = None) -> Column:
+    """What a row is known by: its doc_id, which may be null or repeated, and its text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64("text") if text_hash is None else text_hash)
+
+
 def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``chosen``; null matches null."""
-    ids = chosen.select(F.col("doc_id").alias("chosen_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi").select(*_COLUMNS)
+    """The rows of ``docs`` whose doc_id and text are in ``chosen`` (doc_id, text_hash)."""
+    rows = chosen.select(_row("doc_id", F.col("text_hash")).alias("chosen_row")).distinct()
+    return docs.join(rows, _row() == F.col("chosen_row"), "left_semi").select(*_COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language; those without letters, and those that fit no language better than the others, go."""
+    """Keeps documents in a known language; those without letters, and those that fit no language better than the others, go.
+
+    Rows are judged by their own text, whether doc_id is null or repeated; repeated rows stay repeated.
+    """
     found = identify_languages(docs)
     return _only(docs, found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the least doc_id, once."""
-    return _only(docs, near_duplicates(docs).where("kept")).dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near copies: the one with the least doc_id (null last), then the least text hash.
+
+    Rows with one doc_id, or none, are near copies only if their texts are. A text without words is a copy of
+    nothing but rows with the same doc_id and text.
+    """
+    keyed = docs.select(*_COLUMNS, _row().alias("row"))
+    groups = near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text_hash"), "row"))
+    kept = keyed.join(groups, "row").groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias("kept_row"))
+    return keyed.join(kept, F.col("row") == F.col("kept_row"), "left_semi").dropDuplicates(["row"]).select(*_COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without any passage of a benchmark item."""
+    """Keeps documents without any passage of a benchmark item; each row is judged by its own text."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _only(docs, found.where(F.size("spans") == 0))
 

@@ -171,7 +171,7 @@ def _union(a: list, b: list) -> list:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, spans) for each row of ``docs`` (doc_id, text; other columns are ignored).
+    """(doc_id, n_words, n_hit, n_items, items, spans, text_hash) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, lower-cased A-Z. A window is
     ``width`` consecutive words of an item, or all words of a shorter one. For a full containment the necessary
@@ -205,4 +205,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
             out = stored(out, "matched")
         out = out.mapInArrow(_matched(index, not k), "doc_id long, text string, n_words long, spans array<array<long>>, items array<string>")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans")
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "spans", F.xxhash64("text").alias("text_hash"))

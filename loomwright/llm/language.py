@@ -132,7 +132,7 @@ def _predicted(sent, order: int):
                     named.append(matcher.languages[best])
                     scores.append(float(1 / np.exp2(np.maximum(bits[k].min() - bits[k], -1000)).sum()))
                     lengths.append(float(bits[k].min()) / len(text))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64()), batch.column("text_hash")], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte", "text_hash"])
 
     return run
 
@@ -150,7 +150,7 @@ def fit_languages(labelled: DataFrame, order: int = ORDER) -> Matcher:
 
 
 def identify_languages(docs: DataFrame, order: int = ORDER, folds: int = 4, held_fold: int = 2) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, bits_per_byte) for each row of ``docs`` (doc_id, text, lang; other columns are ignored).
+    """(doc_id, held_out, lang_pred, score, bits_per_byte, text_hash) for each row of ``docs`` (doc_id, text, lang; other columns are ignored).
 
     Learns from all texts with a language whose crc32(doc_id) mod ``folds`` isn't ``held_fold``; the language, source
     and id of a document play no part in its prediction. The score is the posterior of the best language under
@@ -161,4 +161,4 @@ def identify_languages(docs: DataFrame, order: int = ORDER, folds: int = 4, held
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
     matcher = docs.sparkSession.sparkContext.broadcast(fit_languages(slim.where("not held_out"), order))
-    return slim.select("doc_id", "text", "held_out").mapInArrow(_predicted(matcher, order), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return slim.select("doc_id", "text", "held_out", F.xxhash64("text").alias("text_hash")).mapInArrow(_predicted(matcher, order), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double, text_hash long")
