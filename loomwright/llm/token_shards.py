@@ -10,7 +10,8 @@ A shard is one binary value:
     offsets   u8 per document + 1: where its ids begin, in tokens
     payload   the ids, little-endian
 
-Shards are rows of a Parquet table, so that Spark's committer makes them whole on any store.
+Shards are rows of a Parquet table with the range of their keys, so that Spark's committer makes them whole on any
+store, and a filter on the range reads no other shard's row group (``lookup``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +31,14 @@ from pyspark.sql.window import Window
 from ..storage import new_path
 from .textbytes import U64, mix
 from .units import encoder as shared_encoder
+from .units import groups
 
 END_ID = 2
 #: A shard is closed at so many tokens or documents.
 SHARD_TOKENS, SHARD_DOCS = 1 << 19, 1 << 16
 _HEAD = struct.Struct("<4sHHQQQQQ")
-#: Texts that are encoded together.
-_TEXTS = 500
 _MAGIC, _VERSION, _PER_BUCKET = b"LWTS", 1, 4
-_SHARDS = "part int, seq int, before long, n_tokens long, n_docs long, shard binary"
+_SHARDS = "part int, seq int, before long, n_tokens long, n_docs long, first_key long, last_key long, shard binary"
 
 
 def _slot(hashes: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
@@ -125,6 +126,14 @@ class Shard:
         held = self.prints[slot] == (mix(hashes + U64(1)) >> U64(32)).astype("<u4")
         return self.ordinals[slot].astype(np.int64), np.where(held, self.copies[slot], 0).astype(np.int64)
 
+    def documents(self, keys: np.ndarray) -> np.ndarray:
+        """The document of each of the ascending ``keys``, by the index; the second of equal keys is the second document that has it, and so on."""
+        first, copies = self.find(keys)
+        own = np.arange(len(keys)) - np.searchsorted(keys, keys)
+        if (own >= copies).any():
+            raise KeyError("a key is not in the token shard")
+        return first + own
+
     def tokens(self, document: int) -> np.ndarray:
         return self.ids[int(self.offsets[document]) : int(self.offsets[document + 1])]
 
@@ -138,13 +147,15 @@ def _write(tokenizer: str, end_id: int):
         def close() -> pa.RecordBatch:
             nonlocal keys, ids, held, seq, before
             n = held // width
-            row = [[part], [seq], [before], [n], [len(keys)], [pack(keys, ids, width)]]
+            known = [k for k in keys if k is not None]
+            row = [[part], [seq], [before], [n], [len(keys)], [known[0] if known else None], [known[-1] if known else None], [pack(keys, ids, width)]]
             keys, ids, held, seq, before = [], [], 0, seq + 1, before + n
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "before", "n_tokens", "n_docs", "shard"])
+            kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["part", "seq", "before", "n_tokens", "n_docs", "first_key", "last_key", "shard"])
 
         for batch in batches:
-            for i in range(0, len(batch), _TEXTS):
-                some = batch.slice(i, _TEXTS)
+            for i, j in groups(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+                some = batch.slice(i, j - i)
                 texts = [x or "" for x in some.column(1).to_pylist()]
                 for key, own in zip(some.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     keys.append(key)
@@ -176,19 +187,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, data in zip(batch.column("base").to_pylist(), batch.column("shard"), strict=True):
             shard = Shard(data.as_py())
-            ordinal, copies = shard.find(shard.keys)
             n = np.arange(len(shard.keys))
-            if not (((ordinal <= n) & (n < ordinal + copies)) | (n < shard.nulls)).all():
-                raise ValueError("the index of a token shard doesn't lead to its keys")
-            offsets = shard.offsets.astype(np.int64)
+            place = np.concatenate([n[: shard.nulls], shard.documents(shard.keys[shard.nulls :])])
+            begin, end = shard.offsets[place].astype(np.int64), shard.offsets[place + 1].astype(np.int64)
             raw, width = memoryview(shard.ids.astype("<u4")).cast("B"), 4
-            crc = [zlib.crc32(raw[a * width : b * width]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            columns = [pa.array(shard.keys, pa.int64(), mask=n < shard.nulls), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())]
+            crc = [zlib.crc32(raw[a * width : b * width]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            columns = [pa.array(shard.keys, pa.int64(), mask=n < shard.nulls), pa.array(base + begin), pa.array(end - begin), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, each looked up by its key through its shard's index.
+    """(doc_id, start, n_tokens, ids_crc32) of every document; its place comes from its key through its shard's index.
 
     ``start`` counts the ids of all documents before it. The table of a base per range has a row for each task
     that wrote shards, whatever the size of the data.
@@ -199,10 +208,41 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _found(keys: list[int]):
+    own = np.unique(np.array(keys, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("shard"):
+                shard = Shard(data.as_py())
+                first, copies = shard.find(own)
+                held = np.flatnonzero(copies)
+                held = held[shard.keys[first[held]] == own[held]]
+                places = [int(d) + c for d, n in zip(first[held], copies[held], strict=True) for c in range(int(n))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard.keys[d]) for d in places], pa.int64()), pa.array([shard.tokens(d).tolist() for d in places], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return run
+
+
+def lookup(shards: DataFrame, keys: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents with these ``keys``, a short list; a document for each copy of a key, none for a key that isn't there.
+
+    The range of the keys is pushed down to the shard table, the shards in whose own range a key lies are read, and
+    each key costs constant time in its shard.
+    """
+    out = "doc_id long, ids array<long>"
+    if not keys:
+        return shards.sparkSession.createDataFrame([], out)
+    held = F.exists(F.array(*(F.lit(int(k)).cast("long") for k in sorted(set(keys)))), lambda k: (k >= F.col("first_key")) & (k <= F.col("last_key")))
+    near = shards.where((F.col("first_key") <= max(keys)) & (F.col("last_key") >= min(keys)) & held)
+    return near.select("shard").mapInArrow(_found(keys), out)
+
+
 def token_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write ``docs`` (doc_id, text; other columns are ignored) as token shards and read every document back.
 
-    Null texts are empty; each document ends with ``end_id``. Rows without doc_id come first and have no key.
+    Null texts are empty; each document ends with ``end_id``. Special tokens in a text are found as the library finds
+    them. Rows without doc_id come first and have no key.
     Repeated ids are kept, in the order of their texts' hashes; their key leads to the first of them in a shard.
     An empty table gives an empty result.
     """

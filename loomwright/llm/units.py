@@ -1,21 +1,29 @@
-"""Encoding whole texts with a public tokenizer through a cache of space-separated units."""
+"""Encoding whole texts with a public tokenizer through a cache of units between single spaces and line ends."""
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: Units kept at once; beyond that only those of the texts at hand stay.
-CACHE_UNITS = 800_000
+#: Estimated bytes of the units kept at once: half for those of late, half for those before them.
+CACHE_BYTES = 128 << 20
+#: Characters of the texts that are encoded together; longer texts are encoded piece by piece.
+GROUP_CHARS = 1 << 20
 #: Characters that Python and the tokenizer may take differently as white space.
-_DOUBTFUL = "᠎"
+_DOUBTFUL = "\u180e"
 #: Where a text with irregular white space can be cut: before a single space between two visible characters.
 _CUT = re.compile(rf"(?<=[^\s{_DOUBTFUL}])(?= [^\s{_DOUBTFUL}])")
-_ENDS = frozenset(".,;:!?")
+_ENDS = ".,;:!?"
+#: Units by what is plain to see of their pre-tokens: letters or digits (after a line end, if they begin with it) and
+#: perhaps one mark after them; or anything else.
+_UNIT = re.compile(rf"(?:(\n?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+))([{_ENDS}]?)|([^ ]*)) ")
+_UNIT_COST, _JOINED = 220, 50
 
 _encoders: dict[str, UnitEncoder] = {}
 
@@ -27,62 +35,135 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+def groups(sizes: Iterable[int], limit: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``limit`` at most, one row at least."""
+    i = j = held = 0
+    for size in sizes:
+        if j > i and held + size > limit:
+            yield i, j
+            i, held = j, 0
+        held += size
+        j += 1
+    if j > i:
+        yield i, j
+
+
+def _odd(unit: str) -> bool:
+    first = unit[1:2] if unit[:1] == "\n" else unit[:1]
+    return not first or first.isspace() or first == _DOUBTFUL or unit[-1].isspace() or unit[-1] == _DOUBTFUL
+
+
 class UnitEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of a byte-level BPE.
 
-    Its pre-tokenizer never joins characters across a single space that stands between two visible characters,
-    nor a letter with a mark after it, so the pieces between such places are encoded on their own, each distinct
-    piece once while the cache holds it.
+    Its pre-tokenizer never joins characters across a single space or line end that stands between two visible
+    characters, nor a letter with a mark after it, so the pieces between such places are encoded on their own,
+    each distinct piece once while the cache holds it. Pieces of letters alone are split by their spaces instead
+    of the tokenizer's pattern, which gives the same pre-tokens. Special tokens in a text are found as the
+    library finds them.
     """
 
-    def __init__(self, path: str, units: int = CACHE_UNITS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.pattern = self.tokenizer.pre_tokenizer
+        cut = [pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.spaces = pre_tokenizers.Sequence(cut)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.units = units
-        #: Ids of units after a space; None for one that can't be told apart by spaces alone.
-        self.later: dict[str, bytes | None] = {}
-        self.marks = dict(zip(_ENDS, self._ids(list(_ENDS)), strict=True))
+        #: Ids that stand first in a unit of letters.
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "Ġ" or token == "Ċ"]] = True
+        self.cache_bytes, self.held = cache_bytes, 0
+        #: Ids of units, without their space; None for one that can't be told apart by spaces alone.
+        self.late: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+        self.marks = {"": b""} | dict(zip(_ENDS, self._ids(list(_ENDS)), strict=True))
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
+        kind, self.tokenizer.pre_tokenizer = "H" if self.dtype.itemsize == 2 else "I", self.pattern
         out = [array(kind, x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         if sys.byteorder == "big":
             for x in out:
                 x.byteswap()
         return [x.tobytes() for x in out]
 
+    def _plain_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of units of letters or digits, many to a call; their first ids tell them apart."""
+        spaced = [u if u[0] == "\n" else " " + u for u in units]
+        self.tokenizer.pre_tokenizer = self.spaces
+        flat = array("I")
+        for x in self.tokenizer.encode_batch_fast(["".join(spaced[i : i + _JOINED]) for i in range(0, len(units), _JOINED)], add_special_tokens=False):
+            flat.fromlist(x.ids)
+        ids = np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32)
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(units):
+            return self._ids(spaced)
+        raw, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+        ends = (np.append(at, len(ids)) * width).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def unit_ids(self, units: list[str]) -> list[bytes | None]:
+        """Ids of each unit after its space (or its own line end); None where white space or none is at its edges, so that its surroundings matter."""
+        parts = _UNIT.findall(" ".join(units) + " ") if units else []
+        cores = dict.fromkeys([c for c, _, _ in parts if c])
+        late, before = self.late, self.before
+        ids = {c: x for c in cores if (x := late.get(c) or before.get(c)) is not None}
+        new = [c for c in cores if c not in ids]
+        ids.update(zip(new, self._plain_ids(new), strict=True))
+        rest = [u for c, _, u in parts if not c and not _odd(u)]
+        other = dict(zip(rest, self._ids([u if u[0] == "\n" else " " + u for u in rest]), strict=True)) if rest else {}
+        marks = self.marks
+        return [ids[c] + marks[m] if c else other.get(u) for c, m, u in parts]
+
     def _learn(self, units: set[str]) -> None:
-        later, whole, joined = self.later, [], []
-        for u in units:
-            if not u or u[0].isspace() or u[-1].isspace() or u[0] == _DOUBTFUL or u[-1] == _DOUBTFUL:
-                later[u] = None
-            elif u[-1] in _ENDS and u[:-1].isalpha():
-                joined.append(u)
+        """Puts the units into ``late``, from ``before`` where it has them."""
+        kept = self.before.keys() & units
+        for u in kept:
+            self.late[u] = self.before[u]
+        new = list(units - kept) if kept else list(units)
+        self.late.update(zip(new, self.unit_ids(new), strict=True))
+        self.held += _UNIT_COST * len(units)
+
+    def _encode(self, texts: list[str], inside: bool = False) -> list[bytes]:
+        """``inside``: each text stands after a single space between visible characters, which is left out."""
+        split = [x.replace("\n", " \n").split(" ") for x in texts]
+        first = [] if inside else [own[0] for own in split]
+        flat, at = [], [0]
+        for own in split:
+            flat += own if inside else own[1:]
+            at.append(len(flat))
+        if 2 * self.held > self.cache_bytes:
+            self.late, self.before, self.held = {}, self.late, 0
+        found = list(map(self.late.get, flat))
+        missing = [k for k, x in enumerate(found) if x is None]
+        self._learn({flat[k] for k in missing}.difference(self.late))
+        for k in missing:
+            found[k] = self.late[flat[k]]
+        out: list[bytes | None] = []
+        for k, text in enumerate(texts):
+            own = found[at[k] : at[k + 1]]
+            if None in own or (not inside and own and (not first[k] or first[k][-1].isspace() or first[k][-1] == _DOUBTFUL)):
+                out.append(b"".join(self._ids(_CUT.split(" " + text if inside else text))))
+                if not inside:
+                    first[k] = ""
             else:
-                whole.append(u)
-        whole += {u[:-1] for u in joined}.difference(later, whole)
-        later.update(zip(whole, self._ids([" " + u for u in whole]), strict=True))
-        for u in joined:
-            later[u] = later[u[:-1]] + self.marks[u[-1]]
+                out.append(b"".join(own))
+        return out if inside else [a + b for a, b in zip(self._ids(first), out, strict=True)]
+
+    def _long(self, text: str) -> bytes:
+        """The ids of a text that is encoded piece by piece."""
+        out, at, inside = [], 0, False
+        while at < len(text):
+            m = _CUT.search(text, at + GROUP_CHARS)
+            to = m.start() if m else len(text)
+            out += self._encode([text[at:to]], inside)
+            at, inside = to + 1, True
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``dtype``."""
-        split = [x.split(" ") for x in texts]
-        found = set().union(*(own[1:] for own in split))
-        missing = found.difference(self.later)
-        if len(self.later) + len(missing) > self.units:
-            self.later = {u: self.later[u] for u in found - missing}
-        self._learn(missing)
-        get, out = self.later.__getitem__, []
-        for k, own in enumerate(split):
-            try:
-                if len(own) > 1 and (not own[0] or own[0][-1].isspace() or own[0][-1] == _DOUBTFUL):
-                    raise TypeError
-                out.append(b"".join(map(get, own[1:])))
-            except TypeError:
-                split[k] = None
-                out.append(b"".join(self._ids(_CUT.split(texts[k]))))
-        first = iter(self._ids([own[0] for own in split if own is not None]))
-        return [ids if own is None else next(first) + ids for own, ids in zip(split, out, strict=True)]
+        out: list[bytes] = []
+        for i, j in groups(map(len, texts)):
+            out += self._encode(texts[i:j]) if j > i + 1 or len(texts[i]) <= GROUP_CHARS else [self._long(texts[i])]
+        return out

@@ -20,7 +20,7 @@ from loomwright.llm.mixing import block_texts, mix_sources, mixed_blocks
 from loomwright.llm.near_dedup import near_duplicates
 from loomwright.llm.quality import quality_verdicts
 from loomwright.llm.secrets import scan_secrets, secret_spans
-from loomwright.llm.token_shards import KeyIndex, Shard, pack, token_shards
+from loomwright.llm.token_shards import KeyIndex, Shard, lookup, pack, token_shards, write_shards
 from loomwright.llm.tokenizer_files import byte_bpe
 
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -187,7 +187,6 @@ def test_token_shards(docs, none, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
     got = token_shards(docs, byte_bpe()).orderBy("start").collect()
     rows = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, *_ in odd_rows())
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -198,6 +197,29 @@ def test_token_shards(docs, none, spark):
         at += r.n_tokens
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x or 0))
     assert token_shards(none, byte_bpe()).count() == 0
+    shards = write_shards(docs, byte_bpe())
+    found = Counter((r.doc_id, tuple(r.ids)) for r in lookup(shards, [13, 5, 4, 777, -3]).collect())
+    assert found == Counter({(i, ids): n for (i, ids), n in rows.items() if i in (13, 5, 4)})
+    assert lookup(shards, []).count() == 0
+
+
+def test_units_give_the_library_s_ids(monkeypatch):
+    """Any text, special tokens and odd white space included, in one piece or in many, with a cache that overflows."""
+    from tokenizers import Tokenizer
+
+    from loomwright.llm import units
+
+    t = Tokenizer.from_file(byte_bpe())
+    draw = np.random.default_rng(4)
+    parts = ["a", "b", "ab", " ", " ", " ", "é", ".", ",", "\n", "'s", "\t", "1", "<|endoftext|>", "漢", "\u180e", "\x1c", "\r\n", "½", "e\u0301"]
+    texts = ["".join(parts[k] for k in draw.integers(0, len(parts), draw.integers(0, 40))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b <|endoftext|> c.", "don't we'll\n's 'so", "a\n\nb c", " lead", "trail ", "\n", "", "x" * 3000 + " y " * 2000]
+    for limit in (units.GROUP_CHARS, 7):
+        monkeypatch.setattr(units, "GROUP_CHARS", limit)
+        encoder = units.UnitEncoder(byte_bpe(), cache_bytes=20_000)
+        got = [x for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])]
+        for text, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, encoder.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_key_index():
@@ -211,6 +233,10 @@ def test_key_index():
     first, copies = shard.find(np.array([5, 9, 1 << 40, 6, -1]))
     assert first[:3].tolist() == [1, 3, 4] and copies.tolist() == [2, 1, 1, 0, 0]
     assert shard.tokens(2).tolist() == [2, 3]
+    assert shard.documents(shard.keys[1:]).tolist() == [1, 2, 3, 4]
+    shard.prints = np.zeros_like(shard.prints)
+    with pytest.raises(KeyError):
+        shard.documents(shard.keys[1:])
     with pytest.raises(ValueError):
         Shard(pack(keys, [b""] * 5, 2) + b"x")
 
