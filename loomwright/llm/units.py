@@ -12,7 +12,7 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Estimated bytes of the units kept at once: half for those of late, half for those before them.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 256 << 20
 #: Characters of the texts that are encoded together; longer texts are encoded piece by piece.
 GROUP_CHARS = 1 << 20
 #: Characters that Python and the tokenizer may take differently as white space.
