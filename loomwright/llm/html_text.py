@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -34,12 +34,14 @@ _AWAY_WORDS = frozenset(
     "widgets form search skip".split()
 )
 _MAIN = frozenset("article main".split())
+#: Words of class and id by which even an article is none.
+_MAIN_AWAY_WORDS = frozenset("comment comments reply ad ads advert related".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    path: int
     parent: int
     away: bool
     link: bool
@@ -47,10 +49,14 @@ class Element:
 
 @dataclass
 class Page:
-    """Elements in page order, and text pieces as (element, block, text)."""
+    """Elements in page order, text pieces as (element, block, text), and tag paths by number as (path around, tag).
+
+    What is marked as menu, form, advert or the like has paths of its own.
+    """
 
     elements: list[Element] = field(default_factory=list)
     pieces: list[tuple[int, int, str]] = field(default_factory=list)
+    paths: list[tuple[int, str]] = field(default_factory=list)
 
 
 def _is_away(tag: str, attributes: str) -> bool:
@@ -64,143 +70,218 @@ def _is_away(tag: str, attributes: str) -> bool:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", *_MAIN) and not _AWAY_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-        if name in ("class", "id") and tag in _MAIN and not {"comment", "comments", "reply", "ad", "ads", "advert", "related"}.isdisjoint(_WORDS.findall(value)):
+        words = _MAIN_AWAY_WORDS if tag in _MAIN else _AWAY_WORDS
+        if name in ("class", "id") and tag not in ("body", "html") and not words.isdisjoint(_WORDS.findall(value)):
             return True
     return False
 
 
+class Stack:
+    """Open elements, with the places of those that a later start tag may close, by scope; no step looks at more than it takes off."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[int, str]] = [(0, "")]
+        self.count: dict[str, int] = {}
+        self.scopes: list[tuple[int, dict[str, int]]] = [(0, {})]
+
+    def push(self, element: int, tag: str) -> None:
+        place = len(self.open)
+        self.open.append((element, tag))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if tag == "p" or tag in _CLOSED_BY:
+            self.scopes[-1][1].setdefault(tag, place)
+        if tag in _SCOPES:
+            self.scopes.append((place, {}))
+
+    def cut(self, place: int) -> None:
+        """Closes all from ``place`` on."""
+        for _, tag in self.open[place:]:
+            self.count[tag] -= 1
+        del self.open[place:]
+        while self.scopes[-1][0] >= place:
+            self.scopes.pop()
+        own = self.scopes[-1][1]
+        for tag in [t for t, k in own.items() if k >= place]:
+            del own[tag]
+
+    def end(self, tag: str) -> None:
+        if self.count.get(tag):
+            place = len(self.open) - 1
+            while self.open[place][1] != tag:
+                place -= 1
+            self.cut(place)
+
+    def start(self, tag: str) -> None:
+        """Closes what the start of a block ``tag`` implies to be over."""
+        own = self.scopes[-1][1]
+        places = [own[t] for t in ("p", *_CLOSED_BY.get(tag, ())) if t in own]
+        if places:
+            self.cut(min(places))
+
+
+def _tag_end(source: str, at: int, quotes: dict[str, bool]) -> int:
+    """The place of the ``>`` that ends a tag, beyond its quoted values; -1 if the page ends in it. ``quotes`` knows of quotes that have no other one after them."""
+    while True:
+        end = source.find(">", at)
+        if end < 0:
+            return -1
+        first = min((k for q in quotes if quotes[q] and (k := source.find(q, at, end)) >= 0), default=-1)
+        if first < 0:
+            return end
+        close = source.find(source[first], first + 1)
+        if close < 0:
+            quotes[source[first]] = False
+        else:
+            at = close + 1
+
+
 def parse(source: str) -> Page:
-    """Elements and text of a page; tags left open are closed as HTML has it for paragraphs, list items and table cells."""
-    page = Page([Element("", "", -1, False, False)])
-    stack, block, at = [0], 0, 0
+    """Elements and text of a page, in time that grows with its length.
+
+    Tags left open are closed as HTML has it for paragraphs, list items and table cells. A tag or comment that the
+    page ends in is no text; a quote without a second one is ignored.
+    """
+    page = Page([Element("", 0, -1, False, False)], [], [(-1, "")])
+    stack, block, at, numbers, quotes = Stack(), 0, 0, {}, {'"': True, "'": True}
 
     def text(raw: str) -> None:
         if raw:
-            page.pieces.append((stack[-1], block, html.unescape(raw)))
+            page.pieces.append((stack.open[-1][0], block, html.unescape(raw)))
 
+    begin = 0
     while True:
-        m = _TOKEN.search(source, at)
-        text(source[at : m.start()] if m else source[at:])
-        if not m:
+        at = source.find("<", at)
+        if at < 0:
+            text(source[begin:])
             return page
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if source.startswith(("<!", "<?"), at):
+            text(source[begin:at])
+            end = "-->" if source.startswith("<!--", at) else "]]>" if source.startswith("<![CDATA[", at) else ">"
+            close = source.find(end, at + 2)
+            if close < 0:
+                return page
+            begin = at = close + len(end)
             continue
-        if m[1]:
-            if tag not in _INLINE:
-                block += 1
-            scope = next((k for k in range(len(stack) - 1, 0, -1) if page.elements[stack[k]].tag == tag), 0)
-            if scope:
-                del stack[scope:]
-            continue
-        if tag == "br":
-            page.pieces.append((stack[-1], block, " "))
+        m = _NAME.match(source, at + 1)
+        if not m:
+            at += 1
             continue
-        if tag in _VOID:
+        text(source[begin:at])
+        close = _tag_end(source, m.end(), quotes)
+        if close < 0:
+            return page
+        tag, attributes = m[0].lower(), source[m.end() : close]
+        begin = at = close + 1
+        if tag[0] == "/":
+            if tag[1:] not in _INLINE:
+                block += 1
+            stack.end(tag[1:])
+        elif tag == "br":
+            page.pieces.append((stack.open[-1][0], block, " "))
+        elif tag in _VOID:
             block += tag not in _INLINE
-            continue
-        if tag in _RAW:
+        elif tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-            at = end.end() if end else len(source)
+            begin = at = end.end() if end else len(source)
             block += 1
-            continue
-        if tag not in _INLINE:
-            block += 1
-            for k in range(len(stack) - 1, 0, -1):
-                own = page.elements[stack[k]].tag
-                if own == "p" or own in _CLOSED_BY.get(tag, ()):
-                    del stack[k:]
-                    if own == "p":
-                        continue
-                    break
-                if own in _SCOPES:
-                    break
-        up = page.elements[stack[-1]]
-        page.elements.append(Element(tag, f"{up.path}/{tag}", stack[-1], up.away or _is_away(tag, m[3]), up.link or tag == "a"))
-        if not m[3].endswith("/"):
-            stack.append(len(page.elements) - 1)
-
-
-def path_ratios(page: Page) -> dict[str, float]:
-    """A score for each path from the root to a text: length per text times punctuation per text, smoothed with the scores of the paths that stand next to it."""
-    length: dict[str, float] = {}
-    marks: dict[str, float] = {}
-    nodes: dict[str, set[tuple[int, int]]] = {}
+        else:
+            if tag not in _INLINE:
+                block += 1
+                stack.start(tag)
+            up = stack.open[-1][0]
+            e = page.elements[up]
+            away = e.away or _is_away(tag, attributes)
+            path = numbers.setdefault((e.path, tag, away), len(page.paths))
+            if path == len(page.paths):
+                page.paths.append((e.path, tag))
+            page.elements.append(Element(tag, path, up, away, e.link or tag == "a"))
+            if not attributes.endswith("/"):
+                stack.push(len(page.elements) - 1, tag)
+
+
+def path_ratios(page: Page) -> dict[int, float]:
+    """A score for each path from the root to a text.
+
+    Length per text times marks per text, the less the more of it is links, is smoothed over the paths that stand next
+    to it in the page and fused with what it was before smoothing. What is marked as menu, form, advert or the like
+    counts a tenth.
+    """
+    length: dict[int, float] = {}
+    marks: dict[int, float] = {}
+    links: dict[int, float] = {}
+    nodes: dict[int, set[tuple[int, int]]] = {}
     for element, block, text in page.pieces:
         e = page.elements[element]
-        if e.away or not text.strip():
-            continue
-        length[e.path] = length.get(e.path, 0) + len(text.strip())
-        marks[e.path] = marks.get(e.path, 0) + len(_PUNCTUATION.findall(text))
-        nodes.setdefault(e.path, set()).add((element, block))
+        size = len(text.strip())
+        if size:
+            weight = 0.0 if e.away else 1.0
+            length[e.path] = length.get(e.path, 0) + size * weight
+            marks[e.path] = marks.get(e.path, 0) + len(_PUNCTUATION.findall(text)) * weight
+            links[e.path] = links.get(e.path, 0) + size * weight * e.link
+            nodes.setdefault(e.path, set()).add((element, block))
     paths = list(length)
     if not paths:
         return {}
-    raw = np.array([length[p] / len(nodes[p]) * (1 + marks[p] / len(nodes[p])) for p in paths])
+    raw = np.array([length[p] / len(nodes[p]) * (1 + marks[p] / len(nodes[p])) * (1 - 0.9 * links[p] / (length[p] or 1)) for p in paths])
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     weight = np.convolve(np.ones(len(raw)), kernel)[2:-2]
     smooth = np.convolve(raw, kernel)[2:-2] / weight
     return dict(zip(paths, np.sqrt(raw * smooth), strict=True))
 
 
+def _up(page: Page, *sums: list) -> None:
+    """Adds each element's numbers to those of the elements around it."""
+    for k in range(len(page.elements) - 1, 0, -1):
+        for own in sums:
+            own[page.elements[k].parent] += own[k]
+
+
 def _menus(page: Page) -> set[int]:
     """Lists of three texts or more that consist of links alone."""
-    inside: dict[int, list[bool]] = {}
+    texts, linked = [0] * len(page.elements), [0] * len(page.elements)
     for element, _, text in page.pieces:
         if text.strip():
-            linked, k = page.elements[element].link, element
-            while k > 0:
-                if page.elements[k].tag in ("ul", "ol"):
-                    inside.setdefault(k, []).append(linked)
-                k = page.elements[k].parent
-    return {k for k, own in inside.items() if len(own) >= 3 and all(own)}
+            texts[element] += 1
+            linked[element] += page.elements[element].link
+    _up(page, texts, linked)
+    return {k for k, e in enumerate(page.elements) if e.tag in ("ul", "ol") and texts[k] >= 3 and texts[k] == linked[k]}
 
 
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in page order, white space collapsed, joined by a space.
 
-    Paths score by ``path_ratios``; those at or above half a standard deviation (or the best one) are content.
-    Elements named article or main are the article, all of them, if they hold half of the content or more. Else it
-    is the lowest element that covers all content, and what stands around it (``_around``). All its text belongs
-    to it but for menus, forms, adverts and the like, and blocks off the content paths that consist of links alone.
+    Paths score by ``path_ratios``; the texts on those at or above half a standard deviation (or the best one) are
+    content. The article is the lowest element that covers all content, and what stands around it (``_around``). If
+    elements named article or main hold half of the content or more, it is those of them that hold any. All its
+    content belongs to it, and its other texts but for those marked as menus, forms, adverts and the like, lists of
+    links, and, where no element is named, blocks that consist of links alone.
     """
     if not source:
         return ""
     page = parse(source)
     scores = path_ratios(page)
-    if not scores:
-        return ""
     values = np.array(list(scores.values()))
+    if not len(values) or values.max() <= 0:
+        return ""
     limit = min(values.max(), 0.5 * values.std() or values.max())
-    menus = _menus(page)
-    held = [0.0] * len(page.elements)
-    dropped = [e.away for e in page.elements]
+    best, menus = {p for p, x in scores.items() if x >= limit}, _menus(page)
+    marked = [e.away for e in page.elements]
     for k, e in enumerate(page.elements):
-        dropped[k] = dropped[k] or k in menus or (e.parent >= 0 and dropped[e.parent])
-    for element, _, text in page.pieces:
-        size = len(text.strip())
-        if size and not dropped[element] and scores[page.elements[element].path] >= limit:
-            k = element
-            while k >= 0:
-                held[k] += size
-                k = page.elements[k].parent
-    filled = [False] * len(page.elements)
+        marked[k] = marked[k] or k in menus or (e.parent >= 0 and marked[e.parent])
+    dropped = [own and e.path not in best for own, e in zip(marked, page.elements, strict=True)]
+    held = [0] * len(page.elements)
     for element, _, text in page.pieces:
-        filled[element] |= bool(text.strip()) and not dropped[element]
-    for k in range(len(page.elements) - 1, 0, -1):
-        filled[page.elements[k].parent] |= filled[k]
-    named = {k for k, e in enumerate(page.elements) if e.tag in _MAIN and not dropped[k] and filled[k]}
+        if page.elements[element].path in best:
+            held[element] += len(text.strip())
+    _up(page, held)
+    named = {k for k, e in enumerate(page.elements) if e.tag in _MAIN and not e.away and held[k]}
     nested = _inside(page, named, below=True)
+    linked: set[int] = set()
     if named and 2 * sum(held[k] for k in named if not nested[k]) >= held[0]:
         inside = _inside(page, named)
-        linked: set[int] = set()
     else:
-        top = max((k for k, x in enumerate(held) if x == held[0]), key=lambda k: (page.elements[k].path.count("/"), k))
-        inside = _inside(page, {_around(page, top, dropped)})
-        words = {block for element, block, text in page.pieces if text.strip() and not (page.elements[element].link and scores.get(page.elements[element].path, 0) < limit)}
+        inside = _inside(page, {_around(page, _lowest(page, held), dropped)})
+        words = {block for element, block, text in page.pieces if text.strip() and not (page.elements[element].link and page.elements[element].path not in best)}
         linked = {block for _, block, _ in page.pieces} - words
     blocks: dict[int, list[str]] = {}
     for element, block, text in page.pieces:
@@ -210,6 +291,11 @@ def main_text(source: str | None) -> str:
     return " ".join(x for x in joined if x)
 
 
+def _lowest(page: Page, held: list[int]) -> int:
+    """The lowest element that holds all of ``held``; of those around each other the last."""
+    return max(k for k, x in enumerate(held) if x == held[0])
+
+
 def _inside(page: Page, tops: set[int], below: bool = False) -> list[bool]:
     """Which elements are in one of ``tops``, itself counted unless ``below``."""
     inside = [False] * len(page.elements)
@@ -224,15 +310,16 @@ def _around(page: Page, top: int, dropped: list[bool]) -> int:
     It goes up as long as what an element adds isn't mostly links; up to the body only for a heading beside it.
     """
     words, links, heads = ([0] * len(page.elements) for _ in range(3))
+    headed = [False] * len(page.paths)
+    for k, (up, tag) in enumerate(page.paths):
+        headed[k] = tag in ("h1", "h2", "h3", "h4", "h5", "h6") or (up >= 0 and headed[up])
     for element, _, text in page.pieces:
         e = page.elements[element]
         if not dropped[element] and (size := len(text.strip())):
             words[element] += size
             links[element] += size * e.link
-            heads[element] += size * bool(re.search(r"/h[1-6](/|$)", e.path))
-    for k in range(len(page.elements) - 1, 0, -1):
-        for sums in (words, links, heads):
-            sums[page.elements[k].parent] += sums[k]
+            heads[element] += size * headed[e.path]
+    _up(page, words, links, heads)
     while (up := page.elements[top].parent) > 0 and page.elements[up].tag != "html":
         added = words[up] - words[top]
         if 2 * (links[up] - links[top]) > added or (page.elements[up].tag == "body" and added and heads[up] == heads[top]):

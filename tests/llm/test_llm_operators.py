@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import url_rules
+from loomwright.llm import html_text, url_rules
 from loomwright.llm.decontaminate import contamination
 from loomwright.llm.html_text import extract_text, main_text
 from loomwright.llm.language import identify_languages
@@ -152,6 +152,40 @@ def test_html_text(spark):
     assert html.unescape("&copy;") not in got[3][1]
 
 
+def test_html_attributes_are_told_apart():
+    body = '<p>See <a href="/hidden-valley">the Hidden Valley</a>, now. It is good.</p><p title="Hidden gems">Gems, many.</p><p data-id="ad" data-class=nav>Words, here.</p><p hidden>no, not.</p><p class="x ad y">Buy, now.</p><p style="color:red; display: none">no, never.</p>'
+    assert main_text(PAGE % f"<article>{body}</article>") == "See the Hidden Valley, now. It is good. Gems, many. Words, here."
+
+
+def test_html_pages_with_odd_markup_take_linear_time():
+    import time
+
+    began = time.process_time()
+    odd = {"<a " * 350_000: "", "<div>x" * 60_000: " ".join("x" * 60_000), '<a href="' * 60_000 + ">": "", "<ul><li>a" * 40_000: None, "<p>" + "<span>" * 40_000 + "<h1>a" * 40_000: None, "<div>" * 40_000 + "</p></x>" * 40_000: "", "text, here. <b": "text, here.", "a < b, 1 <2. <!-- ": "a < b, 1 <2.", "<a title='>x, y.": "x, y."}
+    for source, want in odd.items():
+        got = main_text(source)
+        assert want is None or got == want, source[:20]
+    assert time.process_time() - began < 120
+
+
+def test_html_path_ratios_choose_the_text(monkeypatch):
+    """With all scores alike, what the ratios tell from the article is taken for it."""
+    page = PAGE % ("<div><span>Home</span> <span>News</span></div><div><p>" + "Long text, with commas, and stops. " * 9 + "</p></div>")
+    marked = PAGE % ("<nav><ul><li><a href=/>Home</a></ul></nav><section><p>" + "Long text, with commas, and stops. " * 9 + "</p></section>")
+    want = ("Long text, with commas, and stops. " * 9).strip()
+    assert [main_text(page), main_text(marked)] == [want, want]
+    scores = html_text.path_ratios
+    monkeypatch.setattr(html_text, "path_ratios", lambda p: dict.fromkeys(scores(p), 1.0))
+    assert main_text(page) != want and main_text(marked) != want
+
+
+def test_html_table_cases(spark, none):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars string")
+    assert extract_text(empty).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "t", "9"), (None, None, "<p>One, two.</p>", None, None)], empty.schema)
+    assert sorted(map(tuple, extract_text(clash).collect()), key=str) == [(1, "u", "One, two.", 9), (None, None, "One, two.", 9)]
+
+
 def test_html_text_keeps_what_stands_beside_the_long_text():
     long = "<p>Long text, with commas, and stops. It goes on, as it must, to the end.</p>" * 40
     said = " ".join(["Long text, with commas, and stops. It goes on, as it must, to the end."] * 40)
