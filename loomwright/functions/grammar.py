@@ -160,3 +160,49 @@ def parse_strict(completion: Column) -> Column:
 
 def perfect_completion(focus: Column, attr: Column, answer: Column) -> Column:
     return F.concat(F.lit("<think><focus>"), F.array_join(focus, ", "), F.lit("</focus><focus_attr>"), attr, F.lit("</focus_attr></think>\n\\boxed{"), answer, F.lit("}"))
+
+
+def derived_marks(parsed: Column) -> Column:
+    """What a parsed completion has: has_think, has_focus, has_focus_attr, has_boxed, has_illegal_focus and is_well_formed."""
+    p = parsed.getField
+    text = lambda x: F.coalesce(x, F.lit("")) != ""
+    marks = {"has_think": p("think_count") > 0, "has_focus": F.size(p("focus_labels")) > 0, "has_focus_attr": text(p("focus_attr")), "has_boxed": text(p("boxed_answer")), "has_illegal_focus": F.size(p("illegal_focus_labels")) > 0}
+    formed = marks["has_think"] & marks["has_focus"] & marks["has_focus_attr"] & marks["has_boxed"] & ~marks["has_illegal_focus"]
+    return F.struct(*(c.alias(n) for n, c in marks.items()), formed.alias("is_well_formed"))
+
+
+def shown_reply(completion: Column, with_focus: bool = False) -> Column:
+    """What a reader is shown: the box up to its first closing brace, or the whole text; with the focus after it, if that is asked for."""
+    raw = F.coalesce(completion, F.lit(""))
+    ws = f"[{PY_WS}]"
+    reply = F.when(F.rlike(raw, F.lit(_BOX)), py_strip(F.regexp_extract(raw, _BOX, 1))).otherwise(py_strip(raw))
+    if not with_focus:
+        return reply
+    focus = rf"(?is)<focus>{ws}*(.*?){ws}*</focus>"
+    return F.when(F.rlike(raw, F.lit(focus)), F.concat(reply, F.lit("\n\n_（关注点 focus: "), py_strip(F.regexp_extract(raw, focus, 1)), F.lit("）_"))).otherwise(reply)
+
+
+def fenced_json(text: Column, kind: str = "object") -> Column:
+    """The JSON object (or array) of a reply, as VARIANT: without its code fence, or else from its first opening brace to its last closing one; null if neither parses to the kind."""
+    body = F.regexp_replace(F.regexp_replace(py_strip(text), rf"^```(?:json)?[{PY_WS}]*", ""), rf"[{PY_WS}]*```$", "")
+    pattern = r"(?s)(\{.*\})" if kind == "object" else r"(?s)(\[.*\])"
+    whole, part = F.try_parse_json(body), F.try_parse_json(F.nullif(F.regexp_extract(body, pattern, 1), F.lit("")))
+    found = F.coalesce(whole, part)
+    return F.when(F.startswith(F.schema_of_variant(found), F.lit("OBJECT" if kind == "object" else "ARRAY")), found)
+
+
+def completion_text(completion: Column) -> Column:
+    """A completion in any shape, as VARIANT, as text: a text, the first text among content, text and generated_text of a message, or the messages of a list, a line each."""
+    said = lambda v: F.coalesce(*(F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.try_variant_get(v, f"$.{k}", "string")) for k in ("content", "text", "generated_text")))
+    kind = F.schema_of_variant(completion)
+    one = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.coalesce(said(v), F.to_json(v))).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+    parts = F.filter(F.transform(F.try_variant_get(completion, "$", "array<variant>"), one), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.coalesce(F.when(F.startswith(kind, F.lit("ARRAY")), F.array_join(parts, "\n")).otherwise(one(completion)), F.lit(""))
+
+
+def completion_batch(completions: Column) -> Column:
+    """A batch of completions as a list of VARIANTs: a list of messages is one completion, any other list one each, anything else one."""
+    items = F.try_variant_get(completions, "$", "array<variant>")
+    message = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & (F.try_variant_get(v, "$.role", "string").isNotNull() | F.try_variant_get(v, "$.content", "string").isNotNull())
+    chat = (F.size(items) > 0) & F.forall(items, lambda v: F.coalesce(message(v), F.lit(False)))
+    return F.when(F.startswith(F.schema_of_variant(completions), F.lit("ARRAY")) & ~F.coalesce(chat, F.lit(False)), items).otherwise(F.array(completions))

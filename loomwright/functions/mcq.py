@@ -58,6 +58,34 @@ def general_choice(text: Column, normalized: bool = False) -> Column:
     return F.when(clean == "", None).otherwise(F.coalesce(general_token(clean), general_token(found)))
 
 
+#: Fields of an object that may hold the target.
+TARGET_FIELDS = ["answer", "label", "gold", "target", "correct_answer"]
+
+
+def typed_choice(target: Column) -> Column:
+    """The choice that a VARIANT target makes: a whole number from 1 to 4, a text, the first of a list that makes one, or what an object holds; none for booleans.
+
+    Lists and objects hold texts and numbers.
+    """
+    kind = F.schema_of_variant(target)
+    first = F.get(F.filter(F.transform(F.try_variant_get(target, "$", "array<variant>"), typed_choice_of_scalar), lambda x: x.isNotNull()), F.lit(0))
+    held = F.coalesce(*(F.when(~_blank_text(F.try_variant_get(target, f"$.{f}", "string")), F.try_variant_get(target, f"$.{f}", "variant")) for f in TARGET_FIELDS))
+    alone = F.when(kind == "STRING", general_choice(F.try_variant_get(target, "$", "string"))).otherwise(typed_choice_of_scalar(target))
+    return F.when(F.startswith(kind, F.lit("ARRAY")), first).when(F.startswith(kind, F.lit("OBJECT")), typed_choice_of_scalar(held)).otherwise(alone)
+
+
+def _blank_text(text: Column) -> Column:
+    return F.coalesce(py_strip(text), F.lit("")) == ""
+
+
+def typed_choice_of_scalar(value: Column) -> Column:
+    """The choice of a text or number in a VARIANT; texts are taken as they are, without compatibility forms."""
+    kind = F.schema_of_variant(value)
+    number = F.try_variant_get(value, "$", "double")
+    whole = F.when((number == F.floor(number)) & number.between(1, 4), _letter(number.cast("int").cast("string")))
+    return F.when(kind == "STRING", general_choice(F.try_variant_get(value, "$", "string"), normalized=True)).when(kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")), whole)
+
+
 def unwrapped(text: Column) -> Column:
     ws = PY_WS
     start = F.regexp_replace(py_strip(text), rf"""^[{ws}'"`“”‘’(\[{{（【]+""", "")

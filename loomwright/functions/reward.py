@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .grammar import contract_issues, contract_report, parse_completion
-from .text import blank, squash
+from .grammar import contract_issues, contract_report, label_array, parse_completion
+from .text import blank, jaccard, squash
 
 #: The weights of focus, attribute, reference and format.
 WEIGHTS = {"focus": 0.4, "attribute": 0.2, "reference": 0.2, "format": 0.2}
@@ -70,6 +70,17 @@ def strict_match(parsed: Column, valid: Column, gold: Column) -> Column:
     return (valid & (F.size(gold) > 0) & same & (F.size(parsed.getField("illegal_focus_labels")) == 0)).cast("double")
 
 
+def legal_overlap(mine: Column, gold: Column) -> Column:
+    """The validators' overlap: Jaccard of the legal labels of both; 1 where neither has any."""
+    legal = lambda x: F.array_intersect(F.coalesce(x, F.array().cast("array<string>")), label_array())
+    return jaccard(legal(mine), legal(gold))
+
+
+def gold_labels_at(gold: Column, index: Column, size: Column) -> Column:
+    """The gold labels of row ``index`` of a batch, from a list of label lists; a flat list of labels (one list in ``gold``) is every row's."""
+    return F.when((F.size(gold) == size) & (F.size(gold) > 1), F.get(gold, index)).when(F.size(gold) == 1, F.get(gold, F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def with_contract(df: DataFrame, completion: str = "completion") -> DataFrame:
     """Adds ``parsed``, ``issues`` and ``valid``; the completion is parsed once."""
     return df.withColumn("parsed", parse_completion(F.col(completion))).withColumn("issues", contract_issues(F.col("parsed"))).withColumn("valid", F.size("issues") == 0)

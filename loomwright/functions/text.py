@@ -40,18 +40,20 @@ def has_cjk(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(_CJK)), F.lit(False))
 
 
-def normalize_text(text: Column) -> Column:
-    """Case-folded, without punctuation, symbols, separators and control characters; JVM-side.
+#: Characters that NFKC and case folding leave to lower case and ``ß``, or turn into what is dropped anyway, as a regex class body.
+_PLAIN = (
+    r"\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u012f\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+    r"\u2010-\u2016\u2018-\u2027\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff3d"
+)
 
-    Equals ``normalize_text_exact`` for text that NFKC leaves as it is.
-    """
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(folded, r"[\p{P}\p{S}\p{Z}\p{C}]", "")
+
+def _plain_normal(text: Column) -> Column:
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[\p{P}\p{S}\p{Z}\p{C}]", "")
 
 
 @F.pandas_udf(T.StringType())
 def normalize_text_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC, full case folding, then the same characters dropped; Arrow batches."""
+    """NFKC, full case folding, then punctuation, symbols, separators and control characters dropped; Arrow batches."""
     drop: dict[str, str] = {}
 
     def one(text: str | None) -> str | None:
@@ -64,6 +66,21 @@ def normalize_text_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one, na_action=None)
 
 
+def normalize_text(text: Column) -> Column:
+    """NFKC, case-folded, without punctuation, symbols, separators and control characters.
+
+    JVM-side for texts of plain characters; only those with others are sent to Python.
+    """
+    other = F.rlike(text, F.lit(f"[^{_PLAIN}]"))
+    return F.when(other, normalize_text_exact(F.when(other, text))).otherwise(_plain_normal(text))
+
+
+def record_text(fields: list[Column], turns: Column) -> Column:
+    """What duplicates are compared by: the given fields, then role and content of each turn, a line each; nulls are left out, but not those of turns."""
+    said = F.flatten(F.transform(turns, lambda t: F.array(F.coalesce(t["role"], F.lit("")), F.coalesce(t["content"], F.lit("")))))
+    return F.concat_ws("\n", F.array_compact(F.array(*fields)), F.coalesce(said, F.array().cast("array<string>")))
+
+
 def char_ngrams(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams; of a text no longer than n, its distinct characters."""
     size = F.char_length(text)

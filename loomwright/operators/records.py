@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.grammar import label_array
 from ..functions.text import blank, first_nonempty, py_strip, squash
+from ..storage import stored
 
 #: The names under which a field may come, in order of preference.
 ALIASES = {
@@ -31,6 +32,9 @@ CONTRACT = (
     "<focus>从 Knowledge, Style, Worldview, Emotion, Empathetic, Engagement, Human_Like, Extension, Memory, Safety 中选择一个或多个英文标签，用逗号分隔</focus>"
     "<focus_attr>用中文写出本次回复体现的角色属性</focus_attr></think>\\boxed{最终给用户的中文角色回复}"
 )
+FALLBACK_HEAD, FALLBACK_NAME, FALLBACK_TAIL = "我现在只是一个普通助手，不能以", "这个角色", "的身份回答。这个问题我没有特别的看法。"
+STRATEGIES, SAME_SUFFIX = ("style_flattening_fallback", "provided_degraded_answer"), "（偏离角色语气的降质版本）"
+POLICY_HEAD, CARD_HEAD, WORK_HEAD, PROFILE_HEAD, DIALOGUE_HEAD = "你正在扮演一个中文角色。请只根据可见角色卡和对话上下文作答。", "角色: ", "来源作品: ", "角色卡:", "对话上下文:"
 THINK_LEAD = "<think>本次回复需要先保持角色身份，再根据用户问题推进对话。"
 FILLER_TURN = "请根据角色卡进行回应。"
 ASSISTANT_ROLES = ["assistant", "model", "bot", "ai", "角色", "模型"]
@@ -81,7 +85,7 @@ def chat_role(role: Column, character: Column) -> Column:
 
 def chat_messages(character: Column, work: Column, profile: Column, turns: Column) -> Column:
     """System message with card and contract, then the dialogue; a filler turn where there is none."""
-    head = F.concat(F.lit("角色: "), character, F.lit("\n来源作品: "), work, F.lit("\n角色卡:\n"), profile, F.lit("\n\n" + CONTRACT))
+    head = F.concat(F.lit(CARD_HEAD), character, F.lit(f"\n{WORK_HEAD}"), work, F.lit(f"\n{PROFILE_HEAD}\n"), profile, F.lit(f"\n\n{CONTRACT}"))
     system = F.array(F.struct(F.lit("system").alias("role"), head.alias("content")))
     said = F.filter(F.transform(turns, lambda t: F.struct(chat_role(t["role"], character).alias("role"), py_strip(t["content"]).alias("content"))), lambda t: t["content"] != "")
     filler = F.array(F.struct(F.lit("user").alias("role"), F.lit(FILLER_TURN).alias("content")))
@@ -94,7 +98,7 @@ def render_dialogue(turns: Column) -> Column:
 
 
 def policy_prompt(character: Column, work: Column, profile: Column, turns: Column) -> Column:
-    return F.concat(F.lit("你正在扮演一个中文角色。请只根据可见角色卡和对话上下文作答。\n\n角色: "), character, F.lit("\n来源作品: "), work, F.lit("\n角色卡:\n"), profile, F.lit("\n\n对话上下文:\n"), render_dialogue(turns), F.lit(f"\n\n{FORMAT_INSTRUCTION}\n"))
+    return F.concat(F.lit(f"{POLICY_HEAD}\n\n{CARD_HEAD}"), character, F.lit(f"\n{WORK_HEAD}"), work, F.lit(f"\n{PROFILE_HEAD}\n"), profile, F.lit(f"\n\n{DIALOGUE_HEAD}\n"), render_dialogue(turns), F.lit(f"\n\n{FORMAT_INSTRUCTION}\n"))
 
 
 def sft_content(focus: Column, attr: Column, character: Column, answer: Column) -> Column:
@@ -118,10 +122,10 @@ def formatted(answer: Column, focus: Column, attr: Column, character: Column) ->
 def dpo_pairs(records: DataFrame) -> DataFrame:
     """(id, chosen, rejected, rejected_strategy) for records with a reference; a missing rejection is replaced by an off-character one."""
     chosen, given = py_strip(F.col("reference_answer")), F.nullif(py_strip(F.coalesce("rejected_answer", F.lit(""))), F.lit(""))
-    fallback = F.concat(F.lit("我现在只是一个普通助手，不能以"), F.coalesce(F.nullif(F.col("character"), F.lit("")), F.lit("这个角色")), F.lit("的身份回答。这个问题我没有特别的看法。"))
-    strategy = F.when(given.isNull(), "style_flattening_fallback").otherwise(F.coalesce(F.nullif(py_strip(F.col("rejected_strategy")), F.lit("")), F.lit("provided_degraded_answer")))
+    fallback = F.concat(F.lit(FALLBACK_HEAD), F.coalesce(F.nullif(F.col("character"), F.lit("")), F.lit(FALLBACK_NAME)), F.lit(FALLBACK_TAIL))
+    strategy = F.when(given.isNull(), STRATEGIES[0]).otherwise(F.coalesce(F.nullif(py_strip(F.col("rejected_strategy")), F.lit("")), F.lit(STRATEGIES[1])))
     paired = records.where(~blank(F.col("reference_answer"))).select(F.concat(F.lit("dpo_"), "id").alias("id"), F.col("id").alias("source_record_id"), "character", "source_work", chosen.alias("chosen"), F.coalesce(given, fallback).alias("rejected"), strategy.alias("rejected_strategy"))
-    return paired.withColumn("rejected", F.when(F.col("rejected") == F.col("chosen"), F.concat("rejected", F.lit("（偏离角色语气的降质版本）"))).otherwise(F.col("rejected")))
+    return paired.withColumn("rejected", F.when(F.col("rejected") == F.col("chosen"), F.concat("rejected", F.lit(SAME_SUFFIX))).otherwise(F.col("rejected")))
 
 
 def strict_pairs(pairs: DataFrame) -> DataFrame:
@@ -131,9 +135,13 @@ def strict_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def number_kept(rows: DataFrame, order: Column, prefix: str) -> DataFrame:
-    """Dense numbers from 0 in the order of ``order``, and ids from them where a row has none. Rows are numbered in ranges: a count per range, then within it."""
+    """Dense numbers from 0 in the order of ``order``, and ids from them where a row has none.
+
+    Rows are numbered in ranges of the order, which are stored, so that counting and numbering see the same ones: a
+    count per range, then within it.
+    """
     ranged = rows.withColumn("__key", order)
-    part = ranged.repartitionByRange(F.col("__key")).withColumn("__part", F.spark_partition_id())
+    part = stored(ranged.repartitionByRange(F.col("__key")).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = part.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     placed = part.join(F.broadcast(before), F.col("__part") == F.col("__p"))

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 
 def hash_fraction(rows: DataFrame, key: Column, fraction: float) -> DataFrame:
     """(key, heldout): distinct keys ordered by SHA-256, the first round(n * fraction) held out, at least one and never all.
 
     Keys are ranked within the 256 ranges of the hash's first byte, after the ranges' counts, so no task ranks all.
+    The query fails where there are fewer than two keys.
     """
     keys = rows.select(key.alias("key")).distinct().withColumn("digest", F.sha2("key", 256)).withColumn("part", F.substring("digest", 1, 2))
     counts = keys.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
     ranked = keys.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("digest", "key")))
-    wanted = F.least(F.greatest(F.lit(1), F.bround(F.col("total") * fraction)), F.col("total") - 1)
+    total = F.when(F.col("total") > 1, F.col("total")).otherwise(F.raise_error(F.lit("a split needs two keys at least")).cast("long"))
+    wanted = F.least(F.greatest(F.lit(1), F.bround(total * fraction)), total - 1)
     return ranked.select("key", (F.col("rank") <= wanted).alias("heldout"))
 
 
@@ -74,18 +78,54 @@ def blake2b_8(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def work_disjoint_split(records: DataFrame, ratios: dict[str, float], reserved: Column | None = None) -> DataFrame:
     """(source_work, split): works in the order of their BLAKE2b digests take the quotas of sft, reward and eval_heldout in turn; reserved works are all held out.
 
-    The table of works is what is ranked; records are only aggregated.
+    The table of works is what is ranked, within the 256 ranges of the digest's first byte and after the ranges'
+    counts; records are only aggregated.
     """
     named = records.where("trim(character) <> ''").withColumn("work", F.trim(F.coalesce(F.nullif("source_work", F.lit("")), "character")))
     groups = named.groupBy("work").agg(F.bool_or(reserved if reserved is not None else F.lit(False)).alias("reserved"))
-    order = Window.orderBy(blake2b_8(F.col("work")), "work")
-    ranked = groups.where("not reserved").withColumn("rank", F.row_number().over(order))
-    quotas = ranked.agg(F.count("*").alias("n")).select(F.map_from_entries(hamilton(F.col("n"), ratios)).alias("q"))
+    open_ = stored(groups.where("not reserved").select("work", blake2b_8(F.col("work")).alias("digest")).withColumn("part", F.substring("digest", 1, 2)), "digests")
+    counts = open_.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("digest", "work"))
+    ranked = open_.join(F.broadcast(before), "part").withColumns({"rank": rank, "q": F.map_from_entries(hamilton(F.col("total"), ratios))})  # 256 ranges at most
     first, second = F.col("q")["sft"], F.col("q")["sft"] + F.col("q")["reward"]
-    placed = ranked.join(F.broadcast(quotas)).select(F.col("work").alias("source_work"), F.when(F.col("rank") <= first, "sft").when(F.col("rank") <= second, "reward").otherwise("eval_heldout").alias("split"))
+    placed = ranked.select(F.col("work").alias("source_work"), F.when(F.col("rank") <= first, "sft").when(F.col("rank") <= second, "reward").otherwise("eval_heldout").alias("split"))
     return placed.unionByName(groups.where("reserved").select(F.col("work").alias("source_work"), F.lit("eval_heldout").alias("split")))
 
 
+def existing_split(records: DataFrame, order: str, held_out: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((split, character), (character, source_work)) of records that name their splits; characters of ``held_out`` are held out wherever they stand, and a character's last work counts."""
+    named = records.where("trim(character) <> ''").withColumn("character", F.trim("character"))
+    split = F.when(F.col("character").isin(held_out), "eval_heldout").otherwise(F.col("split"))
+    works = named.where("trim(source_work) <> ''").groupBy("character").agg(F.max_by(F.trim("source_work"), order).alias("source_work"))
+    return named.select(split.alias("split"), "character").distinct(), works
+
+
+def character_split(records: DataFrame, ratios: dict[str, float], order: str, splits: list[str], held_out: list[str], reserved: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """((split, character), (character, source_work)): the records' own splits if each of them names one of ``splits``, else ``work_disjoint_split``."""
+    whole = records.agg(F.coalesce(F.bool_and(F.coalesce(F.col("split").isin(splits), F.lit(False))), F.lit(False))).first()[0]
+    if whole:
+        return existing_split(records, order, held_out)
+    named = records.where("trim(character) <> ''").select(F.trim("character").alias("character"), F.trim(F.coalesce(F.nullif("source_work", F.lit("")), "character")).alias("source_work")).distinct()
+    placed = work_disjoint_split(records, ratios, F.col("character").isin(held_out) | (reserved if reserved is not None else F.lit(False)))
+    return named.join(placed, "source_work").select("split", "character").distinct(), named.select("character", "source_work")
+
+
+def merged_map(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Two maps as tables of the same columns; where both have a key, the new one's row counts."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``keys``."""
+    return rows.join(keys.select(key), key, "left_semi")
+
+
+def doubled_entries(table: DataFrame, group: str, entry: str) -> DataFrame:
+    """(group) for each group that has an entry more than once."""
+    return table.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(entry).alias("k")).where("n <> k").select(group)
+
+
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been done: what a resumed run still has to do."""
     return rows.join(done.select(key), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grammar import label_array, parse_strict, perfect_completion
+from ..functions.grammar import FOCUS_LABELS, label_array, parse_strict, perfect_completion
 from ..functions.text import blank, has_cjk, normalize_text, py_strip
 
 #: The closed sets of the record schema.
@@ -20,6 +20,39 @@ PLACEHOLDERS = ["TODO", "TBD", "FIXME", "PLACEHOLDER", "FILL_ME", "待填", "占
 MAX_REFERENCE = 1000
 
 
+def schema_errors(record_id: Column | None = None) -> Column:
+    """What is wrong with a typed record, as sentences in the order of the rules; ``record_id`` stands in for its id.
+
+    Columns: id, character, source_work, character_cluster, profile, conversations, gold_focus, gold_focus_attr, reference_answer,
+    rejected_answer, source, split, synth_meta (generator, prompt_id, rejected_strategy, human_reviewed).
+    """
+    c, text = F.col, lambda x: F.coalesce(x, F.lit(""))
+    listed = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+    say = lambda rule, words: F.when(F.coalesce(rule, F.lit(False)), words if isinstance(words, Column) else F.lit(words))
+    named = {"id": record_id if record_id is not None else c("id").cast("string")} | {f: c(f) for f in ("character", "source_work", "profile", "gold_focus_attr", "reference_answer")}
+    turns, focus, meta, rejected = c("conversations"), F.coalesce(c("gold_focus"), F.array().cast("array<string>")), c("synth_meta"), c("rejected_answer")
+    at = lambda i, rest: F.concat(F.lit("conversations["), i.cast("string"), F.lit(rest))
+    said = F.flatten(F.transform(turns, lambda t, i: F.array(F.when(~text(t["role"]).isin(ROLES), at(i, f"].role must be one of {listed(ROLES)}")), F.when(blank(t["content"]), at(i, "].content must be non-empty")))))
+    illegal = F.filter(focus, lambda x: ~F.array_contains(label_array(), x))
+    first = [say(blank(x), f"{name} must be a non-empty string") for name, x in named.items()]
+    first += [say(F.coalesce(c("character_cluster"), F.lit(-2)) < -1, "character_cluster must be -1 or a non-negative integer"), say(F.coalesce(F.size(turns), F.lit(0)) < 1, "conversations must contain at least one turn")]
+    late = [
+        say(F.size(focus) == 0, "gold_focus must contain at least one label"),
+        say(F.size(illegal) > 0, F.concat(F.lit("gold_focus contains illegal labels: ['"), F.array_join(illegal, "', '"), F.lit("']"))),
+        say(F.size(F.array_distinct(focus)) != F.size(focus), "gold_focus must not contain duplicate labels"),
+        say(~text(c("source")).isin(SOURCES), f"source must be one of {listed(SOURCES)}"),
+        say(~text(c("split")).isin(SPLITS), f"split must be one of {listed(SPLITS)}"),
+        say(c("source").isin(SYNTHETIC) & meta.isNull(), "synth_meta is required for synthetic sources"),
+        *(say(meta.isNotNull() & blank(meta.getField(f)), f"synth_meta.{f} must be a non-empty string") for f in ("generator", "prompt_id")),
+        say(meta.isNotNull() & meta.getField("human_reviewed").isNull(), "synth_meta.human_reviewed must be a boolean"),
+        say(rejected.isNotNull() & blank(rejected), "rejected_answer must be non-empty when present"),
+        say(rejected == text(c("reference_answer")), "rejected_answer must differ from reference_answer"),
+        say(rejected.isNotNull() & meta.isNull(), "synth_meta is required when rejected_answer is present"),
+        say(rejected.isNotNull() & meta.isNotNull() & (text(meta.getField("rejected_strategy")) == ""), "synth_meta.rejected_strategy is required when rejected_answer is present"),
+    ]
+    return F.concat(F.array_compact(F.array(*first)), F.coalesce(F.array_compact(said), F.array().cast("array<string>")), F.array_compact(F.array(*late)))
+
+
 def _issue(rule: Column, code: str, field: Column | str) -> Column:
     name = F.lit(field) if isinstance(field, str) else field
     return F.when(rule, F.struct(F.lit(code).alias("code"), name.alias("field")))
@@ -57,7 +90,7 @@ def record_issues(records: DataFrame, check_cjk: bool = True) -> DataFrame:
         _issue(c("reference_answer").isNotNull() & blank(c("reference_answer")), "reference.empty", "reference_answer"),
         _issue(F.length("reference_answer") > MAX_REFERENCE, "reference.too_long", "reference_answer"),
         _issue(reference == normalize_text(c("gold_focus_attr")), "reference.equals_gold_attr", "reference_answer"),
-        _issue(F.array_contains(F.transform(label_array(), normalize_text), reference), "reference.equals_focus_label", "reference_answer"),
+        _issue(reference.isin([x.lower().replace("_", "") for x in FOCUS_LABELS]), "reference.equals_focus_label", "reference_answer"),
         *([_issue(needs_cjk & c("reference_answer").isNotNull() & ~has_cjk(c("reference_answer")), "reference.not_cjk", "reference_answer")] if check_cjk else []),
         _issue(has_rejected & blank(c("rejected_answer")), "dpo.rejected_empty", "rejected_answer"),
         _issue(has_rejected & (reference == rejected), "dpo.chosen_equals_rejected", "rejected_answer"),

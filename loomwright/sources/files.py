@@ -9,23 +9,47 @@ from pyspark.sql.window import Window
 #: Keys under which a JSON document may hold its records.
 RECORD_KEYS = ["data", "items", "examples", "records"]
 METRIC_KEYS = ["rows", "records", "examples", "data", "results"]
-SUFFIXES = {"data": ["json", "jsonl", "parquet"], "eval": ["json", "jsonl", "parquet", "csv", "tsv"]}
+#: Kinds of inputs that folders are searched for.
+SUFFIXES = {"data": ["json", "jsonl", "parquet"], "eval": ["json", "jsonl", "parquet", "csv", "tsv"], "train": ["json", "jsonl", "parquet"], "ledger": None}
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, line, value) of text files, lines numbered from 1 within their file.
+
+    A large file is read by many tasks: each split's lines are counted, and a running sum over a file's splits gives
+    where its numbers begin.
+    """
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    sums = raw.groupBy("path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = sums.select("path", "split", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")).alias("before"))
+    line = (F.col("before") + F.col("at") - F.col("first") + 1).alias("line")
+    return raw.join(before, ["path", "split"]).select("path", line, F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
     """(path, line, record): the JSON object of each line that isn't blank, as VARIANT.
 
-    Lines are numbered within their file. ``strict`` raises for a line that is no object, naming it; otherwise
-    its record is null.
+    ``strict`` raises for a line that is no object, naming it; otherwise its record is null.
     """
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line", "value"))
-    some = text.where(F.trim("value") != "").withColumn("line", F.col("line") + 1)
+    some = numbered_lines(spark, paths).where(F.trim("value") != "")
     parsed = some.withColumn("record", F.try_parse_json("value"))
     good = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
     wrong = F.raise_error(F.concat("path", F.lit(": line "), F.col("line").cast("string"), F.lit(": not a JSON object"))).cast("variant") if strict else F.lit(None).cast("variant")
     return parsed.select("path", "line", F.when(good, F.col("record")).otherwise(wrong).alias("record"))
 
 
+def read_tolerant(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, line, record) up to the first line of each file that is no JSON object; what stands after it is left out. ``unreadable`` lists those lines."""
+    rows = read_lines(spark, paths, strict=False)
+    bad = rows.where("record is null").groupBy("path").agg(F.min("line").alias("bad"))
+    return rows.join(bad, "path", "left").where(F.col("bad").isNull() | (F.col("line") < F.col("bad"))).drop("bad")
+
+
+def unreadable(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, line): the first line of each file that is no JSON object."""
+    return read_lines(spark, paths, strict=False).where("record is null").groupBy("path").agg(F.min("line").alias("line"))
+
+
 def read_document(spark: SparkSession, paths: str | list[str], keys: list[str] = RECORD_KEYS) -> DataFrame:
     """(path, index, record): the items of a JSON list, or of the first list among ``keys`` of an object, or the object itself."""
     docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("doc"))
@@ -37,8 +61,9 @@ def read_document(spark: SparkSession, paths: str | list[str], keys: list[str] =
 
 
 def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV or TSV file with a header."""
-    return spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+    """A CSV or TSV file with a header; a byte order mark before it is no part of the first name."""
+    rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+    return rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
 
 
 def with_origin(rows: DataFrame, order: Column) -> DataFrame:
