@@ -11,25 +11,12 @@ from ..storage import stored
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Words of a block, blocks of an output shard, runs that a source's token stream is laid out in.
 BLOCK_WORDS, SHARD_BLOCKS, RUNS = 64, 4096, 1024
+#: A source has so many blocks at least, or as many as words; the blocks of a small source are shorter.
+LEAST_BLOCKS = 64
 #: Sources up to which their table is broadcast; beyond, Spark joins it by shuffle.
 BROADCAST_SOURCES = 50_000
 _PIECE = 1 << 16
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Primes above 2**30 and below 2**31: coprime to every smaller number of blocks.
-_PRIMES = (1073741827, 1276401053, 1610612741, 2147483647)
-
-
-def permuted(i: Column, n: Column, *salt: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1, another one for each salt: i * p + c mod n with a prime p that doesn't divide n."""
-    # a product needs 62 bits up to 2**31, and decimals beyond
-    draw = F.xxhash64(*salt)
-    prime = F.lit(_PRIMES[-1]).cast("long")
-    for k, p in enumerate(_PRIMES[:-1]):
-        prime = F.when(F.pmod(draw, F.lit(len(_PRIMES))) == k, F.lit(p).cast("long")).otherwise(prime)
-    prime = F.when(n % prime == 0, F.lit(3037000493).cast("long")).otherwise(prime)
-    shift = F.pmod(F.xxhash64(draw), n)
-    wide = F.pmod(i.cast("decimal(19,0)") * prime.cast("decimal(19,0)") + shift.cast("decimal(19,0)"), n.cast("decimal(19,0)")).cast("long")
-    return F.when(n < (1 << 31), F.pmod(i * prime + shift, n)).otherwise(wide)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -54,33 +41,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return named.withColumn("target", target).select("source", "number", "source_size", "target")
 
 
-def shard_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(shard, slot, number, block): which block of which source stands at which slot of which output shard.
+def source_blocks(sources: DataFrame, most: float = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Adds ``width`` (words of a block), ``blocks`` and ``quota`` (blocks that the mix takes, repeats counted): the target by the mean words of a block."""
+    width = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+    sized = sources.withColumn("width", width).withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")).cast("long"))
+    quota = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    return sized.withColumn("quota", F.when(F.col("source_size") > 0, F.least(quota, F.floor(F.lit(most) * F.col("blocks")).cast("long"))).otherwise(F.lit(0).cast("long")))
+
+
+def _ranked(rows: DataFrame, group: list[str], key: Column, ranges: Column) -> DataFrame:
+    """Adds ``rank``, from 0, in the pseudorandom order of ``key`` within ``group``: rows fall into ranges of the key, whose counts say where each begins, so that no task sees a whole group."""
+    high = F.shiftrightunsigned("key", 32)
+    keyed = rows.withColumn("key", key).withColumn("range", F.floor(high * ranges / float(1 << 32)))
+    sums = keyed.groupBy(*group, "range").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*group) if group else Window
+    begun = sums.select(*group, "range", (F.sum("n").over(own.orderBy("range")) - F.col("n")).alias("begun"))
+    rest = [c for c in rows.columns if c not in group]
+    order = Window.partitionBy(*group, "range").orderBy("key", *rest)
+    return keyed.join(begun.hint("merge"), [*group, "range"]).withColumn("rank", F.col("begun") + F.row_number().over(order) - 1).drop("begun", "range", "key")
+
+
+def shard_slots(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(shard, slot, number, block): which block of which source stands at which slot of which output shard, from ``source_blocks``.
 
-    A source's quota is its target in blocks. Each shard draws its source counts from the urn of all quotas without
-    replacement: all draws are ranked by pseudorandom keys and every ``shard_blocks`` of them make a shard. So a
-    shard's counts are multivariate hypergeometric and meet the quotas exactly over all shards. A source's draws
-    go through its blocks by one pseudorandom permutation after another, so a block is used as often as any other,
-    or once more. Ranks come from counts per range of keys, so that no task sees all draws.
+    Each shard draws its source counts from the urn of all quotas without replacement: all draws are ranked by
+    pseudorandom keys and every ``shard_blocks`` of them make a shard. So a shard's counts are multinomial but for
+    meeting the quotas exactly over all shards. A source's draws go through its blocks by one pseudorandom
+    permutation after another (the order of keyed hashes), so a block is used as often as any other, or once more.
     """
-    quotas = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    quotas = quotas.withColumn("quota", F.least(F.round(F.col("target") / block_words).cast("long"), 2 * F.col("blocks")))
-    quotas = quotas.withColumns({"first": F.sum("quota").over(Window.orderBy("number")) - F.col("quota"), "total": F.sum("quota").over(Window.partitionBy(F.lit(0)))})
-    pieces = quotas.where("quota > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / _PIECE))).alias("piece"))
-    spread = pieces.repartition("number", "piece")
-    last = F.least((F.col("piece") + 1) * _PIECE, F.col("quota")) - 1
-    slots = spread.select("number", "blocks", "first", "total", F.explode(F.sequence(F.col("piece") * _PIECE, last)).alias("slot"))
-    epoch = F.floor(F.col("slot") / F.col("blocks"))
-    block = permuted(F.col("slot") - epoch * F.col("blocks"), F.col("blocks"), F.col("number"), epoch)
-    drawn = slots.select("number", block.alias("block"), "total", F.xxhash64("number", "slot", F.lit("shard")).alias("draw"), "slot")
-    ranges = F.ceil(F.col("total") / shard_blocks).cast("long")
-    drawn = drawn.withColumn("range", F.floor(F.shiftrightunsigned("draw", 32) * ranges / float(1 << 32)))
-    sums = drawn.groupBy("range").agg(F.count("*").alias("n"))
-    begun = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("begun"))
-    order = Window.partitionBy("range").orderBy(F.shiftrightunsigned("draw", 32), "draw", "number", "slot")
-    rank = F.col("begun") + F.row_number().over(order) - 1
-    ranked = drawn.join(begun.hint("merge"), "range").select("number", "block", rank.alias("rank"))
-    return ranked.select(F.floor(F.col("rank") / shard_blocks).alias("shard"), (F.col("rank") % shard_blocks).cast("long").alias("slot"), "number", "block")
+    total, blocks, epochs = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.max(F.ceil(F.col("quota") / F.greatest("blocks", F.lit(1)))), F.lit(0))).first()
+    tasks = max(1, min(20_000, 2 * -(-blocks // _PIECE)))
+    pieces = sources.where("quota > 0").select("number", "blocks", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / _PIECE))).alias("piece"))
+    last = F.least((F.col("piece") + 1) * _PIECE, F.col("blocks")) - 1
+    every = pieces.repartition(tasks, "number", "piece").select("number", "blocks", "quota", F.explode(F.sequence(F.col("piece") * _PIECE, last)).alias("block"))
+    # the permutation of each epoch: all of its ranks below what the quota leaves for it are taken
+    dealt = None
+    for epoch in range(int(epochs)):
+        left = F.col("quota") - epoch * F.col("blocks")
+        some = every.where(left > 0)
+        own = _ranked(some, ["number"], F.xxhash64("number", "block", F.lit(f"order {epoch}")), F.ceil(F.col("blocks") / _PIECE)).where(F.col("rank") < left)
+        own = own.select("number", "block", F.lit(epoch).alias("epoch"))
+        dealt = own if dealt is None else dealt.unionByName(own)
+    if dealt is None:
+        return sources.sparkSession.createDataFrame([], "shard long, slot long, number int, block long")
+    drawn = _ranked(dealt, [], F.xxhash64("number", "block", "epoch", F.lit("shard")), F.lit(-(-total // shard_blocks)))
+    return drawn.select(F.floor(F.col("rank") / shard_blocks).alias("shard"), (F.col("rank") % shard_blocks).cast("long").alias("slot"), "number", "block")
 
 
 def packed(sized: DataFrame, runs: int = RUNS) -> DataFrame:
@@ -96,27 +101,27 @@ def packed(sized: DataFrame, runs: int = RUNS) -> DataFrame:
     return rows.join(begun, ["number", "run"]).withColumn("start", F.col("begun") + F.sum("size").over(order) - F.col("size")).drop("run", "begun")
 
 
-def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, block_words: int) -> tuple[DataFrame, DataFrame]:
     """The table of sources with their targets, and the rows with the place of their words in their source's stream."""
     size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
     sized = stored(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), size.alias("size")), "sizes")
-    sources = stored(source_targets(sized, weights, share, most), "targets")
+    sources = stored(source_blocks(source_targets(sized, weights, share, most), most, block_words), "targets")
     small = sources.count() <= BROADCAST_SOURCES
-    known = sources.withColumnRenamed("source", "of")
+    known = sources.select(F.col("source").alias("of"), "number", "source_size", "target", "width")
     known = F.broadcast(known) if small else known
     return sources, stored(packed(sized.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")), "placed")
 
 
-def _blocks(sources: DataFrame, placed: DataFrame, block_words: int, shard_blocks: int) -> DataFrame:
-    end = F.col("start") + F.col("size")
-    blocks = F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))
-    pieces = placed.where("size > 0").select("number", "source", "doc_id", "text_hash", "start", end.alias("end"), F.explode(blocks).alias("block"))
-    begin = F.greatest("start", F.col("block") * block_words)
-    words = F.least("end", (F.col("block") + 1) * block_words) - begin
+def _blocks(sources: DataFrame, placed: DataFrame, shard_blocks: int) -> DataFrame:
+    end, width = F.col("start") + F.col("size"), F.col("width")
+    blocks = F.sequence(F.floor(F.col("start") / width), F.floor((end - 1) / width))
+    pieces = placed.where("size > 0").select("number", "source", "doc_id", "text_hash", "start", "width", end.alias("end"), F.explode(blocks).alias("block"))
+    begin = F.greatest("start", F.col("block") * width)
+    words = F.least("end", (F.col("block") + 1) * width) - begin
     segment = F.struct("start", "doc_id", "text_hash", (begin - F.col("start")).alias("first"), words.alias("words"))
     filled = pieces.groupBy("number", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(segment)).alias("segments"))
     # the plan can't tell how many slots a source's row explodes into, so the join must not be left to its estimate
-    dealt = filled.join(shard_slots(sources, block_words, shard_blocks).hint("merge"), ["number", "block"])
+    dealt = filled.join(shard_slots(sources, shard_blocks).hint("merge"), ["number", "block"])
     return stored(dealt.select("shard", "slot", "number", "source", "block", "segments"), "mixed")
 
 
@@ -126,7 +131,7 @@ def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     ``segments`` are the pieces of documents in the block, in order: where the document starts in its source's
     stream, doc_id, text_hash, the first word taken and the number of words. ``block_texts`` adds the words.
     """
-    return _blocks(*_placed(docs, weights, share, most), block_words, shard_blocks)
+    return _blocks(*_placed(docs, weights, share, most, block_words), shard_blocks)
 
 
 def block_texts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -142,7 +147,8 @@ def block_texts(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """(doc_id, source, text_hash, size, source_size, target, taken) for each row of ``docs`` (doc_id, text, source; other columns are ignored).
 
-    Each source's words are packed into blocks of ``block_words`` (the last may be shorter), the slots of the output
+    Each source's words are packed into blocks of ``block_words`` (shorter ones for small sources, so that each comes
+    near its target; the last may be shorter), the slots of the output
     shards are drawn and dealt to blocks, and the mixed blocks are written by shard and slot (``mixed_blocks``).
     ``taken`` counts the words of the document in the written blocks, repeats included. Pseudorandom choices hash
     fixed numbers, so reruns agree.
@@ -150,8 +156,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     A null text has size 0 and is never taken; a null source is a source, the last one; repeated rows are packed
     one after another. Sources without words have target 0, and an empty table gives an empty result.
     """
-    sources, placed = _placed(docs, weights, share, most)
-    used = _blocks(sources, placed, block_words, shard_blocks).select("number", F.explode("segments").alias("s"))
+    sources, placed = _placed(docs, weights, share, most, block_words)
+    used = _blocks(sources, placed, shard_blocks).select("number", F.explode("segments").alias("s"))
     taken = used.groupBy("number", F.col("s.start").alias("start")).agg(F.sum("s.words").alias("taken"))
     out = placed.join(taken.hint("merge"), ["number", "start"], "left")
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))

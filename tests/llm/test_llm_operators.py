@@ -331,6 +331,22 @@ def test_mixing(docs, none):
     assert mix_sources(none).count() == 0
 
 
+def test_mixing_serves_small_sources_and_any_cap(spark):
+    rows = [(k, "w " * n, s) for k, (n, s) in enumerate([(65, "a"), (20, "b"), (3, "c"), (1, "d"), (700, "e"), (0, "f"), (5000, "g")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (2.0, 3.0):
+        got = mix_sources(docs, most=most, share=1.5).collect()
+        for r in got:
+            assert abs(r.taken - r.target) <= max(2, 0.03 * r.target) and r.taken <= most * r.size, r
+
+
+def test_blocks_are_used_as_often_as_any_other(spark):
+    docs = spark.createDataFrame([(k, "w " * 64, "ab"[k % 4 == 0]) for k in range(4000)], "doc_id long, text string, source string")
+    used = mixed_blocks(docs).groupBy("number", "block").count().collect()
+    for n in {r.number for r in used}:
+        assert len({r["count"] for r in used if r.number == n}) <= 2
+
+
 def test_mixed_blocks_by_shard_and_slot(docs, none, spark):
     blocks = mixed_blocks(docs, block_words=8, shard_blocks=50)
     rows = blocks.collect()
