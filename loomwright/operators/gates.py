@@ -64,7 +64,7 @@ def near_duplicate_records(records: DataFrame, within: bool = False, threshold:
 
 def batch_issues(records: DataFrame, order: str, check_cjk: bool = True, check_near: bool = True, threshold: float = NEAR) -> DataFrame:
     """(record_id, code, field): the issues of each record, repeated ids (a missing one is row_ and its number), split overlaps, and near duplicates between reward and held-out records."""
-    own = record_issues(records, check_cjk).select(F.col("id").alias("record_id"), F.explode("issues").alias("i")).select("record_id", "i.code", "i.field")
+    own = record_issues(records, check_cjk).select(F.col("id").alias("record_id"), F.inline("issues"))
     named = records.withColumn("id", F.when(blank(F.col("id")), F.concat(F.lit("row_"), F.col(order).cast("string"))).otherwise(F.col("id")))
     doubled = duplicate_ids(named, "id", order).select(F.col("id").alias("record_id"), F.lit("schema.duplicate_id").alias("code"), F.lit("id").alias("field"))
     out = own.unionByName(doubled).unionByName(record_split_issues(records))
