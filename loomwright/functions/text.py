@@ -43,7 +43,7 @@ def has_cjk(text: Column) -> Column:
 #: Characters that NFKC and case folding leave to lower case and ``ß``, or turn into what is dropped anyway, as a regex class body.
 _PLAIN = (
     r"\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u012f\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
-    r"\u2010-\u2016\u2018-\u2027\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff3d"
+    r"\u2010-\u2016\u2018-\u2027\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9ffc\uff01-\uff0f\uff1a-\uff20\uff3b-\uff3d"
 )
 
 

@@ -52,6 +52,39 @@ def test_near_duplicate_pairs_equal_brute_force(spark, texts):
     assert got == want and len(want) > 20
 
 
+def test_links_and_membership_give_the_same_pairs(spark, texts):
+    rows = [*texts, (900, texts[0][1].upper()), (901, texts[0][1]), (902, texts[3][1] + "!")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    links, members = S.near_duplicate_links(df, "id", "t")
+    own = dict(members.collect())
+    linked = {(r.left_id, r.right_id): r.similarity for r in links.collect()}
+    got = {}
+    for a in own:
+        for b in own:
+            if a < b and (s := 1.0 if own[a] == own[b] else linked.get(tuple(sorted((own[a], own[b]))))):
+                got[a, b] = s
+    assert got == {(r.left_id, r.right_id): r.similarity for r in S.near_duplicate_pairs(df, "id", "t").collect()}
+    assert S.near_duplicate_pairs(df.limit(0), "id", "t").count() == 0
+
+
+def test_cross_pairs_are_those_between_the_two_splits(spark, texts):
+    rows = [(k, t, ("reward", "eval_heldout", "sft")[k % 3]) for k, t in texts]
+    df = spark.createDataFrame(rows, "id long, t string, split string")
+    split = {k: s for k, _, s in rows}
+    every = {(r.left_id, r.right_id) for r in S.near_duplicate_pairs(df, "id", "t").collect()}
+    got = {(r.left_id, r.right_id) for r in S.near_duplicate_pairs(df, "id", "t", split="split", cross=("reward", "eval_heldout")).collect()}
+    assert got == {(a, b) if split[a] == "reward" else (b, a) for a, b in every if {split[a], split[b]} == {"reward", "eval_heldout"}}
+
+
+def test_normalisation_equals_its_exact_form(spark):
+    """Over all of the plane's characters, alone and between letters."""
+    from loomwright.functions.text import normalize_text, normalize_text_exact
+
+    texts = [f"Ab{chr(k)}c" for k in range(0x1, 0x10000) if not 0xD800 <= k <= 0xDFFF]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    assert df.select(normalize_text(F.col("t")).alias("a"), normalize_text_exact("t").alias("b")).where("not (a <=> b)").count() == 0
+
+
 def test_greedy_dedup_keeps_first(spark, texts):
     got = dict(S.greedy_dedup(spark.createDataFrame(texts, "id long, t string"), "id", "t").select("id", "kept_id").collect())
     kept, want = [], {}
