@@ -18,6 +18,7 @@ from ..operators import records as R
 from ..operators import splits as P
 from ..operators import validate as V
 from ..sources import inputs as I
+from ..storage import stored
 from .reward_queries import strip
 from .views import ctes, view
 
@@ -226,7 +227,7 @@ def gold_gate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of a whole batch but for those of single records and of near duplicates, which have queries of their own."""
     rows = _typed(spark, sf_dir).withColumn("id", F.when(F.col("rid") % 50 == 1, "twice").otherwise(F.col("id")))
-    found = K.batch_issues(rows, "rid", check_near=False).where(F.col("code").isin("schema.duplicate_id", "leakage.character_record_split_overlap", "leakage.source_work_record_split_overlap"))
+    found = stored(K.batch_issues(rows, "rid", check_near=False), "issues").where(F.col("code").isin("schema.duplicate_id", "leakage.character_record_split_overlap", "leakage.source_work_record_split_overlap"))
     return found.groupBy("code", "field").agg(F.count("*").alias("n"))
 
 
@@ -348,7 +349,7 @@ SQL = {
     "published_records": f"{_PUB} select rid, number, {_ID('formal')} as id, {_FIELDS} from k",
     "heldout_rekeyed": f"{_PUB} select rid, format('formal_rolebench_heldout_{{:06d}}', row_number() over (order by rid) - 1) as id, 'heldout' as axis, 'eval_heldout' as split, character, ref as reference_answer, 'reportable' as reportability_status from k where rid % 2 = 0",
     "heldout_candidates": f"""with {ctes('records')}, {_NAMED}, r as (select *, case when rid % 7 > 0 then nullif({strip("coalesce(rejected_answer, '')")}, '') end as ref, {_PATHS} as label from b)
-select rid, format('w4_heldout_{{:06d}}', rid) as id, case when rid % 3 = 0 then 'own' else label end as source, character, coalesce(nullif({strip('work')}, ''), concat(label, '/', character)) as source_work, id as raw_id, {_WHOLE_PATHS} as raw_path, turns as conversations, ref as reference_answer,
+select rid, format('w4_heldout_{{:06d}}', rid) as id, case when rid % 3 = 0 then 'own' else label end as source, character, coalesce(nullif({strip('work')}, ''), label || '/' || character) as source_work, id as raw_id, {_WHOLE_PATHS} as raw_path, turns as conversations, ref as reference_answer,
   case when ref is not null then focus end as gold_focus, case when ref is not null then coalesce(nullif(gold_focus_attr, ''), concat('保持', character, '的身份、语气和互动推进感。')) end as gold_focus_attr, case when character is null or q is null then 'unusable_heldout' end as reason from r""",
     "normalized_seeds": f"""with {ctes('records')}, {_NAMED} select rid, {_ID('seed', 'rid')} as id, coalesce(character, 'unknown') as character, coalesce(nullif({strip('work')}, ''), concat('{SOURCE}/', coalesce(character, 'unknown'))) as source_work, cl as character_cluster, turns as conversations, case when rid % 8 > 0 then focus end as gold_focus, rejected_answer,
   coalesce(nullif({strip('answer')}, ''), concat({strip("concat('gen ', said)")}, chr(10), 'later')) as reference_answer from b""",

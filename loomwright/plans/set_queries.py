@@ -74,7 +74,8 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(char_ngrams(normalize_text(F.col("text")))).cast("long").alias("n_grams"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", normalize_text(F.col("text")).alias("norm"))
+    return rows.select("item_id", F.size(char_ngrams(F.col("norm"))).cast("long").alias("n_grams"))
 
 
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

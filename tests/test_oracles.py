@@ -30,6 +30,17 @@ def plain(rows, names):
     return Counter(tuple(clean(r[k]) for k in order) for r in rows)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """A hundred plans over a few rows each: compiling them would take most of the time. Other tests run compiled."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_twin(spark, duck, name):
