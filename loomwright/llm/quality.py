@@ -33,10 +33,9 @@ def _windows(words: DataFrame) -> DataFrame:
 def text_features(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to ``docs``; drops text. A null text has no words.
 
-    Repeated three-word windows are found within the row: window hashes, with the window's place in their low
-    bits, are sorted, neighbours that share a hash mark repeated places, and the sorted places give the covered
-    words as the sum of the gaps between them, three at most each. Nothing is exploded or shuffled. The hash
-    keeps 64 bits less those that the places of the text need.
+    Repeated three-word windows are found within the row: window hashes of 64 bits, each with its place, are
+    sorted, neighbours that share a hash mark repeated places, and the sorted places give the covered words as the
+    sum of the gaps between them, three at most each. Nothing is exploded or shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -52,15 +51,13 @@ def text_features(docs: DataFrame) -> DataFrame:
     own = _windows(own).drop("hashes")
     none = F.array().cast("array<bigint>")
     own = own.withColumn("windows", F.when(F.size(F.array_distinct("windows")) == F.size("windows"), none).otherwise(F.col("windows")))
-    own = own.withColumn("shift", F.ceil(F.log2(F.size("windows") + F.lit(2))).cast("int"))
-    placed = F.transform("windows", lambda x, i: F.call_function("shiftleft", x, F.col("shift")).bitwiseOR(i.cast("long")))
+    placed = F.transform("windows", lambda x, i: F.struct(x.alias("hash"), i.cast("long").alias("at")))
     own = own.withColumn("sorted", F.sort_array(placed)).drop("windows")
-    alike = F.zip_with("sorted", F.slice("sorted", 2, F.greatest(F.size("sorted"), F.lit(1))), lambda a, b: F.coalesce(F.call_function("shiftrightunsigned", a, F.col("shift")) == F.call_function("shiftrightunsigned", b, F.col("shift")), F.lit(False)))
+    alike = F.zip_with("sorted", F.slice("sorted", 2, F.greatest(F.size("sorted"), F.lit(1))), lambda a, b: F.coalesce(a["hash"] == b["hash"], F.lit(False)))
     own = own.withColumn("alike", alike)
     marked = F.zip_with("alike", F.concat(F.array(F.lit(False)), F.col("alike")), lambda a, b: F.coalesce(a, F.lit(False)) | b)
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("shift")) - 1
-    places = F.filter(F.zip_with("sorted", marked, lambda v, m: F.when(v.isNotNull() & m, v.bitwiseAND(low))), lambda p: p.isNotNull())
-    own = own.withColumn("places", F.sort_array(places)).drop("sorted", "alike", "shift")
+    places = F.filter(F.zip_with("sorted", marked, lambda v, m: F.when(v.isNotNull() & m, v["at"])), lambda p: p.isNotNull())
+    own = own.withColumn("places", F.sort_array(places)).drop("sorted", "alike")
     gaps = F.zip_with("places", F.slice("places", 2, F.greatest(F.size("places"), F.lit(1))), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long"))))
     return own.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)).drop("places")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,8 +34,9 @@ CLASSES = {
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9+/_=-]+"),
-    re.compile(r".*(example|sample|dummy|placeholder|changeme|xxxx|abcdefgh|12345678|your[_-]).*", re.IGNORECASE),
 )
+#: Stand-ins: a span that holds one of these is none; what stands beside it in the same string is judged by itself.
+STAND_INS = re.compile(r"example|sample|dummy|placeholder|changeme|xxxx|abcdefgh|12345678|your[_-]", re.IGNORECASE)
 
 
 def hot_ranges(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -84,12 +87,14 @@ def secret_spans(text: str) -> list[tuple[int, int, int]]:
     spans += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     spans += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
     known = sorted(spans)
+    begins, reach = [a for a, _, _ in known], list(accumulate((b for _, b, _ in known), max))
     for m in _CANDIDATE.finditer(text):
         if any(rule.fullmatch(m[0]) for rule in ALLOWED):
             continue
         for a, b in hot_ranges(m[0]):
             a, b = a + m.start(), b + m.start()
-            if not any(s < b and a < e for s, e, _ in known):
+            before = bisect_left(begins, b)
+            if not (before and reach[before - 1] > a) and not STAND_INS.search(text, a, b):
                 spans.append((a, b, 3))
     return sorted(spans)
 

@@ -9,9 +9,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
 #: Bytes of words between white space: everything but space and U+0009 to U+000D.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -21,17 +18,9 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, U64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
+#: A random number for each byte at each of a word's first places; a word's hash is the sum over its bytes, so it has no more structure than they have.
+_PLACES = 64
+_BYTES = np.random.default_rng(0x5EED).integers(0, 1 << 63, _PLACES * 256, dtype=np.uint64) * U64(2) + np.random.default_rng(0x5EEE).integers(0, 2, _PLACES * 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,9 +69,13 @@ class Words:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[1:n]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((self.raw + U64(1)) * _power(_BASE, n), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _power(_BASE_INVERSE, n)[self.start] + (self.end - self.start).astype(U64))
+        size = self.end - self.start
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        value = _BYTES[(place & (_PLACES - 1)) << 8 | self.raw[inside]]
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] = mix(value[far] + (place[far] // _PLACES).astype(U64))
+        self.hash = mix(np.add.reduceat(value, first) + size.astype(U64)) if len(size) else np.zeros(0, U64)
         self.row_at = np.searchsorted(self.start, at)
 
     def rows(self) -> np.ndarray:

@@ -152,6 +152,24 @@ def test_html_text(spark):
     assert html.unescape("&copy;") not in got[3][1]
 
 
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    from loomwright.llm.textbytes import words_of
+
+    morse = "a"
+    for _ in range(12):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    pairs = [(morse[:n], morse[:n].translate(str.maketrans("ab", "ba"))) for n in (64, 1024, 2048, 4096)]
+    texts = [" ".join(x) for x in pairs] + ["Ab aB ab abc", "", " x", "x" * 70 + " " + "x" * 134 + " " + "x" * 70, "é è"]
+    seen: dict[int, str] = {}
+    for i, _, w in words_of(pa.array(texts)):
+        for r, h, a, b in zip(w.rows().tolist(), w.hash.tolist(), w.start.tolist(), w.end.tolist(), strict=True):
+            word = w.raw[a:b].tobytes().decode()
+            assert seen.setdefault(h, word) == word and word in low(texts[i + r]).split()
+    assert len(seen) == 8 + 2 + 1 + 2 + 2
+
+
 def test_html_attributes_are_told_apart():
     body = '<p>See <a href="/hidden-valley">the Hidden Valley</a>, now. It is good.</p><p title="Hidden gems">Gems, many.</p><p data-id="ad" data-class=nav>Words, here.</p><p hidden>no, not.</p><p class="x ad y">Buy, now.</p><p style="color:red; display: none">no, never.</p>'
     assert main_text(PAGE % f"<article>{body}</article>") == "See the Hidden Valley, now. It is good. Gems, many. Words, here."
@@ -217,6 +235,35 @@ def test_secrets(spark):
     assert secret_spans("x" * 200_000) == []
 
 
+def test_entropy_ranges_equal_recomputed_windows():
+    """Every window of every run of a class, its entropy computed anew."""
+    import math
+
+    from loomwright.llm import secrets as S
+
+    draw = np.random.default_rng(8)
+    letters = list("abcdefABCDEF0123456789+/_-GHIJxyz")
+    for _ in range(300):
+        text = "".join(draw.choice(letters[: draw.integers(4, len(letters))], draw.integers(15, 90)))
+        hot = set()
+        for characters, least in S.CLASSES.values():
+            for a in range(len(text) - S.WINDOW + 1):
+                own = text[a : a + S.WINDOW]
+                entropy = -sum(n / S.WINDOW * math.log2(n / S.WINDOW) for n in Counter(own).values())
+                if characters.issuperset(own) and entropy >= least and any(c.isdigit() for c in own) and any(c.isalpha() for c in own):
+                    hot |= set(range(a, a + S.WINDOW))
+        assert {k for a, b in S.hot_ranges(text) for k in range(a, b)} == hot, text
+
+
+def test_secrets_table_cases(spark):
+    schema = "doc_id long, text string, found string, spans string"
+    assert scan_secrets(spark.createDataFrame([], schema)).count() == 0
+    key = "Zx81kQp2Lm9Vt4Rw7Yc3Hb6N"
+    rows = [(1, f"key {key}", "x", "y"), (1, f"key {key}", "x", "y"), (None, f"sample={key}", None, None), (2, " ".join(["token=abc123", key] * 3000), "x", "y")]
+    got = {(r.doc_id, len(r.found)) for r in scan_secrets(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 1), (None, 1), (2, 6000)}
+
+
 def test_token_shards(docs, none, spark):
     from tokenizers import Tokenizer
 
