@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,8 +193,6 @@ def model_scores(rows: DataFrame, scorer: Callable[[list[str]], list[float | Non
         dry = F.struct(F.lit(None).cast("double").alias("score"), F.lit("dry_run").alias("status"), F.lit(None).cast("string").alias("error"))
         return texts.withColumn("scoring", dry.cast(kind)).drop("scored_text")
 
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def run(x: pd.Series) -> pd.DataFrame:
         out = []

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import time
 import zipfile
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,10 +175,6 @@ def load_config(spark: SparkSession, path: str) -> dict:
 
 def synthesize(seeds: DataFrame, prompt: Column, call, retries: int = 2, pause: float = 2.0) -> DataFrame:
     """Adds ``reply`` and ``error`` to seeds by ``call`` (prompt -> text), an injected function; failures are tried again after growing pauses."""
-    import time
-
-    import pandas as pd
-
     @F.pandas_udf("struct<reply:string,error:string>")
     def run(prompts: pd.Series) -> pd.DataFrame:
         out = []
