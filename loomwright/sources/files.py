@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 #: Keys under which a JSON document may hold its records.
 RECORD_KEYS = ["data", "items", "examples", "records"]
 METRIC_KEYS = ["rows", "records", "examples", "data", "results"]
@@ -13,15 +15,20 @@ METRIC_KEYS = ["rows", "records", "examples", "data", "results"]
 SUFFIXES = {"data": ["json", "jsonl", "parquet"], "eval": ["json", "jsonl", "parquet", "csv", "tsv"], "train": ["json", "jsonl", "parquet"], "ledger": None}
 
 
+#: Splits of files up to which their table is broadcast; beyond, Spark joins it by shuffle.
+SENT_SPLITS = 100_000
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, line, value) of text files, lines numbered from 1 within their file.
 
     A large file is read by many tasks: each split's lines are counted, and a running sum over a file's splits gives
-    where its numbers begin.
+    where its numbers begin. That table, a row for each split, is sent to the tasks while it is small.
     """
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
     sums = raw.groupBy("path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = sums.select("path", "split", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")).alias("before"))
+    before = stored(sums.select("path", "split", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")).alias("before")), "splits")
+    before = F.broadcast(before) if before.count() <= SENT_SPLITS else before
     line = (F.col("before") + F.col("at") - F.col("first") + 1).alias("line")
     return raw.join(before, ["path", "split"]).select("path", line, F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
