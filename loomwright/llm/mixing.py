@@ -15,7 +15,7 @@ BLOCK_WORDS, SHARD_BLOCKS, RUNS = 64, 4096, 1024
 LEAST_BLOCKS = 64
 #: Sources up to which their table is broadcast; beyond, Spark joins it by shuffle.
 BROADCAST_SOURCES = 50_000
-_PIECE = 1 << 16
+_PIECE, _RANGE = 1 << 16, 1 << 12
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,7 +79,7 @@ def shard_slots(sources: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFra
     for epoch in range(int(epochs)):
         left = F.col("quota") - epoch * F.col("blocks")
         some = every.where(left > 0)
-        own = _ranked(some, ["number"], F.xxhash64("number", "block", F.lit(f"order {epoch}")), F.ceil(F.col("blocks") / _PIECE)).where(F.col("rank") < left)
+        own = _ranked(some, ["number"], F.xxhash64("number", "block", F.lit(f"order {epoch}")), F.ceil(F.col("blocks") / _RANGE)).where(F.col("rank") < left)
         own = own.select("number", "block", F.lit(epoch).alias("epoch"))
         dealt = own if dealt is None else dealt.unionByName(own)
     if dealt is None:
