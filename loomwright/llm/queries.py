@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, and their SQL where there is any."""
+"""The thirteen operators as queries over the driver's tables, and their SQL where there is any."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_rules
+from . import line_dedup, url_rules, vector_codes
 from .decontaminate import contamination
 from .html_text import extract_text
 from .language import identify_languages
@@ -68,6 +68,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_url_rules, op3_html_text, op4_lm_score, op5_secrets, op6_token_shards, op7_decontaminate, op8_mixing, op9_quality, op10_language)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(found.codes).select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
 
-SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL}
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_shared_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_url_rules, op3_html_text, op4_lm_score, op5_secrets, op6_token_shards, op7_decontaminate, op8_mixing, op9_quality, op10_language, op12_vector_codes, op13_line_dedup)}
+
+SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op12_vector_codes": vector_codes.SQL, "op13_line_dedup": line_dedup.SQL}
