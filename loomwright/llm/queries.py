@@ -16,8 +16,9 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality import quality_verdicts
 from .secrets import scan_secrets
+from .token_align import align_tokenizers
 from .token_shards import token_shards
-from .tokenizer_files import byte_bpe
+from .tokenizer_files import byte_bpe, piece_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe())
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
     return vector_codes.label_errors(found.codes).select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
@@ -78,6 +83,6 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_url_rules, op3_html_text, op4_lm_score, op5_secrets, op6_token_shards, op7_decontaminate, op8_mixing, op9_quality, op10_language, op12_vector_codes, op13_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_url_rules, op3_html_text, op4_lm_score, op5_secrets, op6_token_shards, op7_decontaminate, op8_mixing, op9_quality, op10_language, op11_token_align, op12_vector_codes, op13_line_dedup)}
 
 SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op12_vector_codes": vector_codes.SQL, "op13_line_dedup": line_dedup.SQL}
