@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..sources import files
 from ..storage import new_path
+from ..streaming.caps import CappedSink, key_capped, start_capped
 from ..streaming.ema import normalize_batch, normalize_stream
-from ..streaming.sinks import append_new
+from ..streaming.ledger import KeyLedger
+from .set_queries import SQL as SET_SQL
 from .views import table
 
 
@@ -30,11 +32,38 @@ def ema_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resumed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sink that two overlapping runs append to: each key once."""
-    path, orders = new_path(spark, "resumed"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    append_new(orders.where("o_orderkey % 3 <> 0"), path, "o_orderkey")
-    append_new(orders.where("o_orderkey % 2 = 0"), path, "o_orderkey")
-    return spark.read.parquet(path)
+    """A ledger that two overlapping runs append to: each key once."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    ledger = KeyLedger(orders, new_path(spark, "resumed"), "o_orderkey")
+    ledger.append(orders.where("o_orderkey % 3 <> 0"), 0)
+    ledger.append(orders.where("o_orderkey % 2 = 0"), 1)
+    return ledger.rows()
+
+
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of the first order of each customer, that a stream appends to; it is stopped and goes on when more orders have come."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    source, checkpoint = new_path(spark, "orders"), new_path(spark, "ledger-state")
+    ledger = KeyLedger(orders, new_path(spark, "first-orders"), "o_custkey")
+    half = orders.agg(F.avg("o_orderkey")).first()[0]
+    for part in ("<", ">="):
+        orders.where(f"o_orderkey {part} {half}").write.mode("append").parquet(source)
+        ledger.append_stream(spark.readStream.schema(orders.schema).parquet(source), checkpoint, order="o_orderkey").awaitTermination()
+    return ledger.rows()
+
+
+def capped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ordered_reason_caps`` over a stream of documents that comes in three parts; the stream is stopped and started again between them."""
+    docs = table(spark, sf_dir, "documents").drop("text")
+    source, sink_path, checkpoint = (new_path(spark, x) for x in ("documents", "capped", "capped-state"))
+    cuts = docs.approxQuantile("doc_id", [0.2, 0.6], 0.01) or [0.0, 0.0]
+    for low, high in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(docs.schema).parquet(source)
+        rows = key_capped(stream, "source", "doc_id", F.col("n_chars") > 100, F.col("lang") == "es", F.col("doc_id") % 5 != 0, 8)
+        sink = CappedSink(rows, sink_path, "doc_id", 120)
+        start_capped(rows, sink, checkpoint).awaitTermination()
+    return sink.read().select("doc_id", "reason")
 
 
 def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +73,7 @@ def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_lines(spark, path).select(F.try_variant_get("record", "$.item_id", "long").alias("item_id"), files.variant_text("record", "text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (ema_normalize, ema_stream, resumed_append, lines_round_trip)}
+QUERIES = {f.__name__: f for f in (ema_normalize, ema_stream, resumed_append, ledger_stream, capped_stream, lines_round_trip)}
 
 SQL = {
     "ema_normalize": """
@@ -56,5 +85,7 @@ r(key, event_id, k, m, s, out) as (
   from r join e on e.key = r.key and e.k = r.k + 1)
 select key, event_id, round(out, 6) as normalized from r""",
     "resumed_append": "select o_orderkey, o_custkey from orders where o_orderkey % 3 <> 0 or o_orderkey % 2 = 0",
+    "ledger_stream": "select min(o_orderkey) as o_orderkey, o_custkey from orders group by o_custkey",
+    "capped_stream": SET_SQL["ordered_reason_caps"],
     "lines_round_trip": "select item_id, text from benchmark",
 }

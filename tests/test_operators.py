@@ -14,7 +14,6 @@ from loomwright.operators import similarity as S
 from loomwright.operators import splits as P
 from loomwright.sources import files
 from loomwright.streaming.ema import normalize_batch, normalize_stream, step
-from loomwright.streaming.sinks import append_new, stream_new
 
 NORMAL = lambda x: "".join(c for c in x.lower() if c.isalnum())
 
@@ -162,16 +161,6 @@ def test_ema_batch_and_stream_agree(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
 
 
-def test_append_is_resumable(spark, tmp_path):
-    path = str(tmp_path / "t")
-    df = spark.range(10)
-    append_new(df.where("id < 6"), path, "id")
-    append_new(df, path, "id")
-    df.write.parquet(str(tmp_path / "in"))
-    stream_new(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), path, "id", str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(10))
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('﻿{"a": {"b": 1}, "a.b": "dotted"}\n\n{"x": "y"}\n', encoding="utf-8")
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\n[1]\n')
