@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import setups as U
 from ..sources import files, inputs
+from ..sources.record_lines import load_records, write_records
 from ..storage import new_path
+from .build_queries import SQL as BUILD_SQL
+from .build_queries import _typed
 from .views import ctes, table, view
 
 
@@ -74,6 +77,32 @@ def tolerant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _got(files.read_tolerant(spark, path))
 
 
+def loaded_record_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written by the data source and loaded from their lines; each error names its line."""
+    path = new_path(spark, "records")
+    write_records(_typed(spark, sf_dir), path)
+    rows = load_records(spark, path, range_bytes=1 << 16).select(F.try_variant_get("record", "$.rid", "long").alias("rid"), "line", F.posexplode_outer("errors").alias("at", "error"))
+    head = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "))
+    return rows.where(F.startswith("error", head)).select("rid", F.col("at").cast("long").alias("at"), F.replace("error", head, F.lit("")).alias("error"))
+
+
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a folder that hold no record, counted by what is wrong with them, beside those that do."""
+    path = new_path(spark, "broken-lines")
+    line = F.when(F.col("o_orderkey") % 7 == 0, "[1, 2]").when(F.col("o_orderkey") % 11 == 0, '{"open": ').when(F.col("o_orderkey") % 13 == 0, " ").otherwise(F.to_json(F.struct("o_orderkey")))
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    rows = load_records(spark, path, validate=False, range_bytes=1 << 18)
+    return rows.select(F.regexp_replace(F.get("errors", F.lit(0)), "^line [0-9]+: ", "").alias("error"), F.try_variant_get("record", "$.o_orderkey", "long").alias("key")).groupBy("error").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+def sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of JSON lines of nested records: keys in order at every level."""
+    path = new_path(spark, "sorted")
+    rows = view(spark, sf_dir, "records").select("rid", F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))).alias("turns"), F.col("rejected_answer").alias("lost")).alias("body"), "persona")
+    files.write_lines(rows, path)
+    return spark.read.text(path).select(F.sha2("value", 256).alias("digest"))
+
+
 def _setup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "rollouts").select("rid", "arm", "axis")
     own = F.struct(F.struct((F.col("rid") % 5).alias("fluency")).alias("metrics"), F.when(F.col("rid") % 2 == 0, F.lit("0.5")).alias("score"))
@@ -95,7 +124,7 @@ def setup_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.status_table(_setup_rows(spark, sf_dir), U.missing_files(gone, allowed=True))
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, document_items, metric_items, discovered_records, expanded_inputs, numbered_lines, tolerant_lines, setup_scores, setup_slots, setup_statuses)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, document_items, metric_items, discovered_records, expanded_inputs, numbered_lines, tolerant_lines, loaded_record_errors, broken_lines, sorted_lines, setup_scores, setup_slots, setup_statuses)}
 
 _ROWS = "select item_id, text from benchmark"
 _SCORED = f"""with {ctes('rollouts')}, s as (select rid, arm, axis, case when axis = 'charactereval' then case when rid % 3 > 0 and rid % 2 = 0 then 0.5 end else (rid % 7)::double end as score, case when rid % 4 = 0 then 'error' end as given from rollouts where axis in ('charactereval', 'heldout')),
@@ -108,6 +137,10 @@ SQL = {
     "expanded_inputs": _ROWS,
     "numbered_lines": "select row_number() over (order by o_orderkey) as line, o_orderkey from orders",
     "tolerant_lines": f"{_ROWS} where item_id < coalesce((select item_id from benchmark where item_id = 7), 1e18)",
+    "loaded_record_errors": BUILD_SQL["schema_errors"],
+    "broken_lines": """with l as (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'record must be a JSON object' when o_orderkey % 11 = 0 then 'invalid JSON: Expecting value' end as error, o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey % 13 = 0 as blank from orders)
+select error, count(*) as n, sum(case when error is null then k end)::bigint as keys from l where not blank group by error""",
+    "sorted_lines": f"with {ctes('records')} select sha256(cast(to_json({{'body': {{'lost': rejected_answer, 'turns': [{{'content': question, 'role': 'user'}}]}}, 'persona': persona, 'rid': rid}}) as varchar)) as digest from records",
     "setup_scores": f"{_SCORED} select rid, axis, score, status from f",
     "setup_slots": f"""with {ctes('rollouts')}, m as (select unnest([{', '.join(f"'{m}'" for m in U.CHARACTER_METRICS)}]) as metric),
 v as (select arm, axis, metric, case when metric = 'fluency' and rid % 3 > 0 then (rid % 5)::double when metric = 'coherency' and rid % 3 = 0 then 2.0::double end as value from rollouts, m where axis = 'charactereval')

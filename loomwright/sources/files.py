@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..storage import stored
@@ -94,16 +95,33 @@ def union_in_order(tables: list[DataFrame], limit: int | None = None) -> DataFra
     return out if limit is None else out.orderBy("table_number", *[c for c in ("line", "index") if c in out.columns]).limit(max(1, limit))
 
 
+def sorted_keys(value: Column, kind: T.DataType) -> Column:
+    """``value`` with the fields of its structs and the keys of its maps in order, at every level; a VARIANT has them in order already."""
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*(sorted_keys(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)))
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(value), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], sorted_keys(e["value"], kind.valueType))))
+    return value
+
+
+def sorted_json(rows: DataFrame) -> Column:
+    """A row as JSON, with its keys sorted at every level and nulls written."""
+    return F.to_json(F.struct(*(sorted_keys(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(rows.schema, key=lambda f: f.name))), {"ignoreNullFields": "false"})
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys."""
-    rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    """JSON lines with keys sorted at every level."""
+    rows.select(sorted_json(rows).alias("value")).write.text(path)
 
 
 def write_valid(rows: DataFrame, issues: str, path: str) -> None:
     """JSON lines, but nothing if any row has an issue: the write fails at the first one."""
     guard = F.when(F.size(issues) > 0, F.raise_error(F.concat(F.lit("invalid record: "), F.to_json(issues))).cast("string"))
-    body = F.to_json(F.struct(*sorted(c for c in rows.columns if c != issues)), {"ignoreNullFields": "false"})
-    rows.select(F.coalesce(guard, body).alias("value")).write.text(path)
+    rows.select(F.coalesce(guard, sorted_json(rows.drop(issues))).alias("value")).write.text(path)
 
 
 def ledger(spark: SparkSession, paths: str | list[str]) -> DataFrame:
