@@ -17,7 +17,7 @@ from ..operators import gates as K
 from ..operators import records as R
 from ..operators import splits as P
 from ..operators import validate as V
-from ..sources import inputs as I
+from ..sources.walk import record_like
 from ..storage import stored
 from .reward_queries import strip
 from .views import ctes, view
@@ -203,7 +203,7 @@ def batch_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select("rid", I.record_like(F.split(_pick([a for a, _ in KEY_CASES]), ",")).alias("record"))
+    return _records(spark, sf_dir).select("rid", record_like(F.split(_pick([a for a, _ in KEY_CASES]), ",")).alias("record"))
 
 
 def local_only_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank
 from ..operators import records as R
 from .reward_queries import strip
-from .views import ctes, table, view
+from .views import ctes, table, view, view_of
 
 _RAW = """
 select rid, case when rid % 3 = 0 then '  ' when rid % 3 = 1 then persona end as character, case when rid % 2 = 0 then concat(' ', persona, ' ') end as role, case when rid % 7 = 0 then null else 'fallback' end as name,
@@ -18,8 +18,7 @@ from records
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "records").createOrReplaceTempView("records")
-    return spark.sql(_RAW).withColumnRenamed("persona_text", "description")
+    return view_of(spark, sf_dir, _RAW).withColumnRenamed("persona_text", "description")
 
 
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import similarity as S
 from ..operators import splits as P
 from ..operators import validate as V
 from .reward_queries import _LEGAL, strip
-from .views import ctes, table, view
+from .views import ctes, table, view, view_of
 
 _META = "struct<generator:string,prompt_id:string,rejected_strategy:string>"
 _BROKEN = """
@@ -23,8 +23,7 @@ from records
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "records").createOrReplaceTempView("records")
-    rows = spark.sql(_BROKEN)
+    rows = view_of(spark, sf_dir, _BROKEN)
     turns = F.array(F.struct(F.when(F.col("rid") % 12 == 0, "narrator").otherwise("user").alias("role"), F.when(F.col("rid") % 12 == 1, " ").otherwise(F.col("question")).alias("content")))
     meta = F.when(F.col("rid") % 4 > 0, F.struct(F.lit("g").alias("generator"), F.when(F.col("rid") % 4 == 1, "").otherwise("p").alias("prompt_id"), F.when(F.col("rid") % 4 == 2, "swap").alias("rejected_strategy"))).cast(_META)
     return rows.withColumns({"gold_focus": F.array("f1", "f2"), "conversations": turns, "synth_meta": meta})

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import setups as U
 from ..sources import files, inputs
+from ..operators.validate import PLACEHOLDERS
 from ..sources.record_lines import load_records, write_records
+from ..sources.walk import discover_records, placeholders_within
 from ..storage import new_path
 from .build_queries import SQL as BUILD_SQL
 from .build_queries import _typed
-from .views import ctes, table, view
+from .views import ctes, table, view, view_of
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,33 @@ def discovered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records at any depth of a document."""
     items = F.transform("items", lambda x: F.struct(x["item_id"].cast("string").alias("question"), x["text"].alias("answer"), F.lit("1").alias("A")))
     body = F.struct(F.lit("y").alias("question"), F.struct(F.array(F.struct(items.alias("rows"))).alias("deep"), F.lit(1).alias("n")).alias("more"))
-    return _got(inputs.discover_records(spark, _documents(spark, sf_dir, body)), "question", "answer")
+    return _got(discover_records(spark, _documents(spark, sf_dir, body)), "question", "answer")
+
+
+#: JSON of many shapes, read alike by both engines.
+_SHAPES = """
+select rid, case rid % 6 when 0 then concat('{"question": "', f1, '", "A": "', persona, '", "inner": {"role": "r", "input": "todo"}}')
+  when 1 then concat('{"zeta": [{"deep": [{"role": "', persona, '", "prompt": "', f2, '"}, 7, null]}], "alpha": {"name": "Tbd ', persona, '", "target": ', rid, '}}')
+  when 2 then concat('[[{"character_name": "', persona, '", "character_profile": "b", "dialogue": []}], {"choices": [1, "fill_me"], "label": "', f1, '"}, null]')
+  when 3 then '{"a": {"b": {"c": [1, 2.5, true, "to do", {"d": ["x TODO y"]}]}}}' when 4 then concat('"', id, '"') else '[]' end as json
+from records
+"""
+
+
+def walked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records at any depth of a few large documents, numbered in their order."""
+    path = new_path(spark, "shapes")
+    shapes = view_of(spark, sf_dir, _SHAPES).groupBy(F.pmod("rid", F.lit(3))).agg(F.array_sort(F.collect_list(F.struct("rid", "json"))).alias("items"))
+    body = F.concat(F.lit("["), F.array_join(F.col("items.json"), ", "), F.lit("]"))
+    shapes.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    names = ["question", "role", "name", "character_name", "label"]
+    return discover_records(spark, path).select("index", F.coalesce(*(F.try_variant_get("record", f"$.{n}", "string") for n in names)).alias("first"))
+
+
+def placeholders_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a placeholder marker at any depth of records of any shape."""
+    rows = view_of(spark, sf_dir, _SHAPES).select("rid", F.parse_json("json").alias("record"))
+    return placeholders_within(rows, "rid", "record", PLACEHOLDERS)
 
 
 def expanded_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +152,12 @@ def setup_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.status_table(_setup_rows(spark, sf_dir), U.missing_files(gone, allowed=True))
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, document_items, metric_items, discovered_records, expanded_inputs, numbered_lines, tolerant_lines, loaded_record_errors, broken_lines, sorted_lines, setup_scores, setup_slots, setup_statuses)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, document_items, metric_items, discovered_records, expanded_inputs, numbered_lines, tolerant_lines, loaded_record_errors, broken_lines, sorted_lines, walked_documents, placeholders_anywhere, setup_scores, setup_slots, setup_statuses)}
 
+#: Children of a JSON value with their place and name, for DuckDB.
+_STEPS = """select w.*, unnest(range(json_array_length(w.v)::bigint)) as i, null as k, unnest(json_extract(w.v, '$[*]')) as child from w where json_type(w.v) = 'ARRAY' and not w.stop
+  union all select w.*, unnest(range(len(json_keys(w.v)))) as i, unnest(json_keys(w.v)) as k, unnest(list_transform(json_keys(w.v), lambda n: json_extract(w.v, concat('$."', n, '"')))) as child from w where json_type(w.v) = 'OBJECT' and not w.stop"""
+_LIKE = "coalesce(json_type({v}) = 'OBJECT' and ((list_has_any(json_keys({v}), ['question', 'prompt', 'label', 'target', 'input']) and list_has_any(json_keys({v}), ['A', 'choices', 'role', 'name'])) or list_has_all(json_keys({v}), ['character_name', 'character_profile', 'dialogue'])), false)"
 _ROWS = "select item_id, text from benchmark"
 _SCORED = f"""with {ctes('rollouts')}, s as (select rid, arm, axis, case when axis = 'charactereval' then case when rid % 3 > 0 and rid % 2 = 0 then 0.5 end else (rid % 7)::double end as score, case when rid % 4 = 0 then 'error' end as given from rollouts where axis in ('charactereval', 'heldout')),
 f as (select *, coalesce(given, case when score is not null then 'ok' else 'missing_status' end) as status from s)"""
@@ -141,6 +173,12 @@ SQL = {
     "broken_lines": """with l as (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'record must be a JSON object' when o_orderkey % 11 = 0 then 'invalid JSON: Expecting value' end as error, o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey % 13 = 0 as blank from orders)
 select error, count(*) as n, sum(case when error is null then k end)::bigint as keys from l where not blank group by error""",
     "sorted_lines": f"with {ctes('records')} select sha256(cast(to_json({{'body': {{'lost': rejected_answer, 'turns': [{{'content': question, 'role': 'user'}}]}}, 'persona': persona, 'rid': rid}}) as varchar)) as digest from records",
+    "walked_documents": f"""with recursive {ctes('records')}, shapes as ({_SHAPES}), docs as (select rid % 3 as part, concat('[', string_agg(json, ', ' order by rid), ']')::json as v from shapes group by 1),
+w(part, place, v, stop) as (select part, ''::varchar, v, false from docs union all select part, concat(place, printf('%08d', i)), child, {_LIKE.format(v='child')} from ({_STEPS}))
+select row_number() over (partition by part order by place) - 1 as index, coalesce(json_extract_string(v, '$.question'), json_extract_string(v, '$.role'), json_extract_string(v, '$.name'), json_extract_string(v, '$.character_name'), json_extract_string(v, '$.label')) as first from w where stop""",
+    "placeholders_anywhere": f"""with recursive {ctes('records')}, shapes as ({_SHAPES}),
+w(rid, field, v, stop) as (select rid, ''::varchar, json::json, false from shapes union all select rid, concat(field, case when k is null then concat('[', i, ']') when field = '' then k else concat('.', k) end), child, false from ({_STEPS}))
+select rid, case when field = '' then '<record>' else field end as field from w where json_type(v) = 'VARCHAR' and regexp_matches(json_extract_string(v, '$'), '(?i){'|'.join(PLACEHOLDERS)}')""",
     "setup_scores": f"{_SCORED} select rid, axis, score, status from f",
     "setup_slots": f"""with {ctes('rollouts')}, m as (select unnest([{', '.join(f"'{m}'" for m in U.CHARACTER_METRICS)}]) as metric),
 v as (select arm, axis, metric, case when metric = 'fluency' and rid % 3 > 0 then (rid % 5)::double when metric = 'coherency' and rid % 3 = 0 then 2.0::double end as value from rollouts, m where axis = 'charactereval')

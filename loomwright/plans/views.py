@@ -67,11 +67,21 @@ def ctes(*names: str) -> str:
     return ",\n".join(f"{n} as ({VIEWS[n]})" for n in order)
 
 
+def _over(spark: SparkSession, sf_dir: str, names: tuple[str, ...], body: str) -> DataFrame:
+    """SQL over derived tables, which stand over the conversations of ``sf_dir``; the session's own views are left alone."""
+    text = f"with {ctes(*names)} {body}".replace("{", "{{").replace("}", "}}")
+    text = text.replace("from conversations a join conversations u", "from {conversations} a join {conversations} u")
+    return spark.sql(text, conversations=table(spark, sf_dir, "conversations"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the Parquet files of ``sf_dir``."""
-    spark.read.parquet(f"{sf_dir}/conversations.parquet").createOrReplaceTempView("conversations")
-    body = f"select * from {name}"
-    return spark.sql(f"with {ctes(name)} {body}")
+    return _over(spark, sf_dir, (name,), f"select * from {name}")
+
+
+def view_of(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """What a select over the derived table ``records`` gives."""
+    return _over(spark, sf_dir, ("records",), f", made as ({text}) select * from made")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Finding input files, discovering records in any JSON document, and small outputs of a run: summaries, tables, packages."""
+"""Finding input files, rows of metrics files, and small outputs of a run: summaries, tables, packages."""
 
 from __future__ import annotations
 
@@ -7,21 +7,13 @@ import io
 import json
 import time
 import zipfile
-from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import METRIC_KEYS, SUFFIXES, read_document, read_lines
 
-#: Names of fields by which a JSON object is known as a record.
-QUESTION_KEYS = ["question", "prompt", "query", "instruction", "input", "answer", "label", "target"]
-ROLE_KEYS = ["character", "role", "name", "profile", "persona", "conversations", "dialogue", "history"]
-CARD_KEYS = ["character_name", "character_profile", "dialogue"]
-CHOICE_KEYS = ["A", "B", "C", "D", "choices", "options", "candidates"]
 #: What is never packed.
 FORBIDDEN_ROOTS, FORBIDDEN_SUFFIX = ["work", "backups", ".git"], ".safetensors"
 
@@ -61,42 +53,6 @@ def expand_inputs(spark: SparkSession, paths: list[str], kind: str = "data") ->
     return out
 
 
-def record_like(keys: Column) -> Column:
-    """Whether an object with these keys looks like a record: a question with choices, a role with a question, or a character card with its dialogue."""
-    has = lambda names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
-    card = F.size(F.array_except(F.array(*map(F.lit, CARD_KEYS)), keys)) == 0
-    return F.coalesce((has(QUESTION_KEYS) & has(CHOICE_KEYS)) | (has(ROLE_KEYS) & has(QUESTION_KEYS)) | card, F.lit(False))
-
-
-def _walk(value: Any) -> Iterator[dict]:
-    """Records of a document, outermost first, in its order; nothing inside a record is one."""
-    ahead = [value]
-    question, role, card, choice = map(set, (QUESTION_KEYS, ROLE_KEYS, CARD_KEYS, CHOICE_KEYS))
-    while ahead:
-        now = ahead.pop()
-        if isinstance(now, dict):
-            keys = now.keys()
-            if keys & question and (keys & choice or keys & role) or card <= keys:
-                yield now
-                continue
-            now = list(now.values())
-        if isinstance(now, list):
-            ahead += reversed([x for x in now if isinstance(x, (dict, list))])
-
-
-def _discovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [json.dumps(x, ensure_ascii=False) for x in _walk(json.loads(text.lstrip("﻿")))]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], ["path", "index", "json"])
-
-
-def discover_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, index, record): every object of JSON documents that looks like a record, at any depth; a document is one task's work."""
-    docs = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return docs.mapInArrow(_discovered, "path string, index long, json string").select("path", "index", F.parse_json("json").alias("record"))
-
-
 def metric_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, index, record) of a metrics file: JSON lines, a list, the first list among the usual keys, or one object; every row must be an object."""
     if path.lower().endswith(".jsonl"):

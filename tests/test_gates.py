@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -16,7 +18,7 @@ from loomwright.operators import gates as K
 from loomwright.operators import records as R
 from loomwright.operators import setups as U
 from loomwright.operators import splits as P
-from loomwright.sources import files, inputs
+from loomwright.sources import files, inputs, walk
 
 
 def test_ledger_entries_must_name_license_and_files(spark):
@@ -108,10 +110,68 @@ def test_strict_readers_name_the_line(spark, tmp_path):
 def test_discovery_stops_at_records(spark, tmp_path):
     inner = {"question": "q", "A": "1", "more": [{"role": "r", "input": "i"}]}
     (tmp_path / "a.json").write_text(json.dumps([1, {"x": {"y": [inner]}, "role": {"name": "n", "answer": "a"}}]))
-    got = [json.loads(r[0]) for r in inputs.discover_records(spark, str(tmp_path)).orderBy("index").select(F.to_json("record")).collect()]
+    got = [json.loads(r[0]) for r in walk.discover_records(spark, str(tmp_path)).orderBy("index").select(F.to_json("record")).collect()]
     assert got == [inner, {"name": "n", "answer": "a"}]
 
 
+def plain_walk(value):
+    """Records of a document, outermost first."""
+    if isinstance(value, list):
+        return [r for x in value for r in plain_walk(x)]
+    if not isinstance(value, dict):
+        return []
+    keys = set(value)
+    asked = keys & set(walk.QUESTION_KEYS)
+    if asked and (keys & set(walk.CHOICE_KEYS) or keys & set(walk.ROLE_KEYS)) or set(walk.CARD_KEYS) <= keys:
+        return [value]
+    return [r for x in value.values() for r in plain_walk(x)]
+
+
+def plain_texts(value, path=""):
+    if isinstance(value, str):
+        return [(path or "<record>", value)]
+    if isinstance(value, dict):
+        return [t for k, v in value.items() for t in plain_texts(v, f"{path}.{k}" if path else k)]
+    return [t for i, v in enumerate(value) for t in plain_texts(v, f"{path}[{i}]")] if isinstance(value, list) else []
+
+
+def odd_documents():
+    draw = random.Random(4)
+    names = [*walk.QUESTION_KEYS[:3], *walk.ROLE_KEYS[:4], *walk.CARD_KEYS, "A", "z", "a.b", "é", "key", "value"]
+
+    def value(depth):
+        kind = draw.randrange(8)
+        if depth == 0 or kind < 3:
+            return draw.choice([None, 1, -2, True, "text", '{"question": 1, "A": 2}', "[1]", "", "TODO é"])
+        if kind < 5:
+            return [value(depth - 1) for _ in range(draw.randrange(4))]
+        return {k: value(depth - 1) for k in draw.sample(names, draw.randrange(4))}
+
+    return [value(5) for _ in range(40)] + [[], {}, "x", None, 3, [[[[]]]], [value(4) for _ in range(60)]]
+
+
+def test_documents_of_any_shape_are_walked_in_order(spark, tmp_path):
+    docs = odd_documents()
+    for k, doc in enumerate(docs):
+        (tmp_path / f"{k:03d}.json").write_text(("\ufeff \n" if k % 3 else "") + json.dumps(doc, ensure_ascii=k % 2 == 0, indent=k % 4 or None), encoding="utf-8")
+    rows = walk.discover_records(spark, str(tmp_path)).select("path", "index", F.to_json("record").alias("json")).collect()
+    got = {(int(r.path[-8:-5]), r["index"]): json.loads(r.json) for r in rows}
+    want = {(k, i): record for k, doc in enumerate(docs) for i, record in enumerate(plain_walk(doc))}
+    assert got == want and len(rows) == len(want) > 12
+    (tmp_path / "bad.json").write_text('[{"a": 1}')
+    with pytest.raises(PySparkException):
+        walk.discover_records(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_texts_of_records_of_any_shape(spark):
+    docs = odd_documents()
+    rows = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "id long, json string").select("id", F.parse_json("json").alias("record"))
+    want = Counter((k, *t) for k, d in enumerate(docs) for t in plain_texts(d))
+    assert Counter(map(tuple, walk.texts_within(rows, "id", "record").collect())) == want
+    assert Counter(map(tuple, walk.placeholders_within(rows, "id", "record", ["todo"]).collect())) == Counter((k, f) for (k, f, t), n in want.items() for _ in range(n) if "TODO" in t)
+    assert walk.texts_within(rows.limit(0), "id", "record").count() == 0
+
+
 def test_synthesis_is_tried_again(spark):
     calls = spark.createDataFrame([("ok",), ("never",)], "p string").coalesce(1)
 
