@@ -247,7 +247,12 @@ select id, 'leakage.character_split_overlap' as code from j where n > 1 union al
     "gold_gate": f"{_ISSUES}, s as (select count(*) as n, (select count(distinct rid) from issues) as bad, count_if(rid % 4 = 0)::bigint as unreviewed from broken) select n, bad, unreviewed, array_to_string(list_filter([case when n < 20 then 'gate.too_few_records' end, case when bad > 0 then 'gate.schema' end, case when unreviewed > 0 then 'gate.human_reviewed_false' end], lambda x: x is not null), ',') as codes from s",
     "normalized_texts": f"select doc_id, sha256({_NORM('text')}) as digest from documents",
     "ngram_profile": f"with n as (select item_id, {_NORM('text')} as t from benchmark) select item_id, case when length(t) <= 5 then len(list_distinct(string_split(t, ''))) else len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)))) end::bigint as n_grams from n",
-    "exact_dups": f"with n as (select doc_id as id, {_NORM('text')} as t from documents), f as (select *, min(id) over (partition by t) as first_id from n) select first_id, id from f where id > first_id",
+    "exact_dups": f"with n as (select doc_id as id, {_NORM('text')} as t from documents), f as (select *, min(id) over (partition by t) as first_id from n) select first_id, id from f where t <> '' and id > first_id",
+    "greedy_dedup": f"""with recursive {_NEAR.strip()[5:]},
+e as (select distinct a_id as u, b_id as v from f where score >= 0.88), m as materialized (select v, row_number() over (order by v) as k, list(u) as near from e group by v),
+r(k, dropped) as (select 0::bigint, []::bigint[] union all select r.k + 1, case when len(list_filter(m.near, lambda x: not list_contains(r.dropped, x))) > 0 then list_append(r.dropped, m.v) else r.dropped end from r join m on m.k = r.k + 1),
+d as (select dropped from r order by k desc limit 1)
+select v as id, list_min(list_filter(near, lambda x: not list_contains(dropped, x))) as kept_id from m, d where list_contains(dropped, v)""",
     "near_dup_pairs": f"{_NEAR} select a_id as left_id, b_id as right_id, round(score, 6) as similarity, reason from f where score >= 0.88",
     "cross_split_near_dups": f"{_NEAR} select case when a_split = 'reward' then a_id else b_id end as left_id, case when a_split = 'reward' then b_id else a_id end as right_id, round(score, 6) as similarity, reason from f where score >= 0.88 and ((a_split = 'reward' and b_split = 'eval_heldout') or (a_split = 'eval_heldout' and b_split = 'reward'))",
     "leakage_anti_join": "select doc_id from documents where source not in (select source from documents where doc_id % 100 = 7 and lang <> 'en')",
