@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,7 @@ _PLAIN = (
 
 
 def _plain_normal(text: Column) -> Column:
-    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[\p{P}\p{S}\p{Z}\p{C}]", "")
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[\p{P}\p{S}\p{Z}\p{C}]+", "")
 
 
 @F.pandas_udf(T.StringType())
@@ -66,15 +66,28 @@ def normalize_text_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one, na_action=None)
 
 
+def _other(text: Column) -> Column:
+    """Whether a text has characters that only ``normalize_text_exact`` knows; a text of as many bytes as characters has none."""
+    return F.when(F.octet_length(text) == F.char_length(text), False).otherwise(F.coalesce(F.rlike(text, F.lit(f"[^{_PLAIN}]")), F.lit(False)))
+
+
 def normalize_text(text: Column) -> Column:
     """NFKC, case-folded, without punctuation, symbols, separators and control characters.
 
-    JVM-side for texts of plain characters; only those with others are sent to Python.
+    Texts of plain characters are done in the JVM, others in Python. The plan has a Python node that all rows go by,
+    plain ones as nulls; ``with_normal_text`` leaves it out for them.
     """
-    other = F.rlike(text, F.lit(f"[^{_PLAIN}]"))
+    other = _other(text)
     return F.when(other, normalize_text_exact(F.when(other, text))).otherwise(_plain_normal(text))
 
 
+def with_normal_text(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with ``normalize_text`` of a column as another; rows with plain texts meet no Python. The rows are read twice."""
+    other = _other(F.col(text))
+    plain = rows.where(~other).withColumn(name, _plain_normal(F.col(text)))
+    return plain.unionByName(rows.where(other).withColumn(name, normalize_text_exact(F.col(text))))
+
+
 def record_text(fields: list[Column], turns: Column) -> Column:
     """What duplicates are compared by: the given fields, then role and content of each turn, a line each; nulls are left out, but not those of turns."""
     said = F.flatten(F.transform(turns, lambda t: F.array(F.coalesce(t["role"], F.lit("")), F.coalesce(t["content"], F.lit("")))))

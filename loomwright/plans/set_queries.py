@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, normalize_text
+from ..functions.text import char_ngrams, normalize_text, with_normal_text
 from ..operators import aggregate as A
 from ..operators import similarity as S
 from ..operators import splits as P
@@ -69,7 +69,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize_text(F.col("text")), 256).alias("digest"))
+    return with_normal_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "norm").select("doc_id", F.sha2("norm", 256).alias("digest"))
 
 
 def ngram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
