@@ -4,7 +4,7 @@ A text is cut before runs of white space, where neither vocabulary has a token t
 tokens of a text are those of its segments, one after another, and every cut is the end of a token of both. Documents
 are numbered in blocks: a block holds the numbers of each document's segments and each distinct segment once. The
 blocks' segments meet by their text, where each distinct one is encoded by both tokenizers and aligned; alignments go
-back to the blocks that hold the segment, and each block composes its documents from them.
+back to the blocks that hold the segment, packed by block, and each block composes its documents from them.
 
 An alignment is an array of unsigned 32-bit numbers: how many tokens A has, then A's tokens, then B's, each as twice
 its id, plus one if a group ends with it.
@@ -32,10 +32,14 @@ from ..storage import drop_stored, stored
 from .textbytes import row_chunks
 
 #: A block is closed at so many characters.
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 24
 #: Occurrences of segments whose pairs are told apart at once; a longer document is taken alone.
 _OCCURRENCES = 1 << 18
 _GROUP_CHARS = 1 << 20
+#: Tokens and links of segments that are written or linked at once; a longer segment is taken alone.
+_LINKS = 1 << 18
+#: Alignments that a task gathers before it sends them back.
+_PACKED_ROWS = 1 << 20
 _SPACE = "▁"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _BLOCKS = "block long, doc_ids array<long>, sizes array<int>, numbers binary, segments array<string>"
@@ -132,7 +136,7 @@ def _zipped(numbers: np.ndarray) -> bytes:
 
 def _unzipped(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.T).view("<i4").ravel()
 
 
 def _number(path_a: str, path_b: str, block_chars: int):
@@ -165,102 +169,160 @@ def _number(path_a: str, path_b: str, block_chars: int):
     return run
 
 
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... ``many[0]`` of them, and so on for each."""
+    ends = np.cumsum(many)
+    return np.arange(int(many.sum())) + np.repeat(first - (ends - many), many)
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each range at[i]:at[i + 1]."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[at])
+
+
+def _picked_sums(values: np.ndarray, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the values at numbers[at[i]:at[i + 1]], some ranges at a time."""
+    parts = [_sums(values[numbers[at[i] : at[j]]], at[i : j + 1] - at[i]) for i, j in row_chunks(at, _OCCURRENCES)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+class _Packed:
+    """Alignments on their way back to their blocks: those of one block together, in few rows."""
+
+    def __init__(self):
+        self.homes, self.numbers, self.codes, self.known, self.held = [], [], [], [], 0
+
+    def add(self, homes: np.ndarray, numbers: np.ndarray, codes: list[int]) -> None:
+        self.homes.append(homes)
+        self.numbers.append(numbers)
+        self.codes.append(np.array(codes, np.int64))
+        self.held += len(codes)
+
+    def rows(self) -> pa.RecordBatch:
+        home, number, code = (np.concatenate(x) for x in (self.homes, self.numbers, self.codes))
+        words = np.frombuffer(b"".join(x or b"" for x in self.known), "<u4")
+        size = np.array([len(x or b"") // 4 for x in self.known], np.int64)
+        first = np.cumsum(size) - size
+        order = np.lexsort((number, home))
+        home, number, code = home[order], number[order], code[order]
+        at = np.append(np.flatnonzero(np.diff(home, prepend=home[0] - 1)), len(home)).tolist()
+        out = [[], [], [], []]
+        for i, j in zip(at, at[1:], strict=False):
+            own = code[i:j]
+            for column, x in zip(out, (home[i], _zipped(np.diff(number[i:j], prepend=0)), _zipped(size[own]), _zipped(words[_spread(first[own], size[own])])), strict=True):
+                column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["home", "steps", "sizes", "words"])
+
+
 def _align(path_a: str, path_b: str):
     """Rows come in order of their segment, so that each distinct one is aligned once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, last, code = tokenizer_pair(path_a, path_b), None, None
+        pair, packed, last = tokenizer_pair(path_a, path_b), _Packed(), None
         for batch in batches:
             segments = batch.column("segment").to_pylist()
-            new = [x for x in dict.fromkeys(segments) if x != last]
-            known = {} if last is None else {last: code}
+            new = list(dict.fromkeys(segments))
+            known = {}
+            if packed.known and new and new[0] == last:
+                known[new.pop(0)] = len(packed.known) - 1
             i = 0
             while i < len(new):
                 j, chars = i, 0
                 while j < len(new) and (j == i or chars + len(new[j]) <= _GROUP_CHARS):
                     chars += len(new[j])
                     j += 1
-                known.update(zip(new[i:j], pair.align(new[i:j]), strict=True))
+                known.update(zip(new[i:j], range(len(packed.known), len(packed.known) + j - i), strict=True))
+                packed.known += pair.align(new[i:j])
                 i = j
-            if segments:
-                last, code = segments[-1], known[segments[-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("number"), pa.array([known[x] for x in segments], pa.binary())], ["home", "number", "code"])
+            last = segments[-1] if segments else last
+            packed.add(*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("home", "number")), [known[x] for x in segments])
+            if packed.held >= _PACKED_ROWS:
+                yield packed.rows()
+                packed, code = _Packed(), packed.known[-1]
+                packed.known.append(code)
+        if packed.held:
+            yield packed.rows()
 
     return run
 
 
-def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... ``many[0]`` of them, and so on for each."""
-    ends = np.cumsum(many)
-    return np.arange(int(many.sum())) + np.repeat(first - (ends - many), many)
-
-
-def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each range at[i]:at[i + 1]."""
-    return np.diff(np.concatenate([[0], np.cumsum(values)])[at])
-
-
 class Segments:
     """The alignments of a block's distinct segments, by number."""
 
-    def __init__(self, numbers: np.ndarray, codes: pa.Array):
-        n = len(numbers)
-        codes = codes.take(pa.array(np.argsort(numbers)))
-        self.valid = ~codes.is_null().to_numpy(zero_copy_only=False)
-        words = np.frombuffer(b"".join(x for x in codes.to_pylist() if x is not None), "<u4").astype(np.int64)
-        size = codes.fill_null(b"").cast(pa.large_binary())
-        size = np.diff(np.frombuffer(size.buffers()[1], np.int64)[size.offset : size.offset + n + 1]) // 4 if n else np.zeros(0, np.int64)
-        begin = np.cumsum(size) - size
+    def __init__(self, codes: pa.Table):
+        parts = [[_unzipped(x.as_py()) for x in codes.column(c)] for c in ("steps", "sizes", "words")]
+        none = [np.zeros(0, np.int64)]
+        number, size = np.concatenate(none + [np.cumsum(x) for x in parts[0]]), np.concatenate(none + parts[1])
+        words = np.concatenate([np.zeros(0, np.int32), *parts[2]])
+        del parts
+        begin, order, n = np.cumsum(size) - size, np.argsort(number), len(number)
+        begin, size = begin[order], size[order]
+        del number, order
+        self.valid = size > 0
         self.n_a = np.zeros(n, np.int64)
         self.n_a[self.valid] = words[begin[self.valid]]
         self.n_b = np.where(self.valid, size - 1 - self.n_a, 0)
         a, b = words[_spread(begin + 1, self.n_a)], words[_spread(begin + 1 + self.n_a, self.n_b)]
         #: The tokens' groups, numbered through the block.
-        self.group_a, self.group_b = (np.cumsum(x & 1) - (x & 1) for x in (a, b))
+        self.group_a, self.group_b = (np.cumsum(x & 1, dtype=np.int32) - (x & 1) for x in (a, b))
         self.a, self.b = a >> 1, b >> 1
         ends = np.concatenate([[0], np.cumsum(a & 1)])
-        token_at = np.concatenate([[0], np.cumsum(self.n_a)])
+        self.at_a, self.at_b = (np.concatenate([[0], np.cumsum(x)]) for x in (self.n_a, self.n_b))
         #: The groups of segment i are group_at[i]:group_at[i + 1].
-        self.group_at = ends[token_at]
+        self.group_at = ends[self.at_a]
         self.n_groups = np.diff(self.group_at)
         groups = int(self.group_at[-1])
         self.n_links = _sums(np.bincount(self.group_a, minlength=groups) * np.bincount(self.group_b, minlength=groups), self.group_at)
 
+    def _chunks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of segments with a bounded number of tokens and links, one segment at least."""
+        return row_chunks(np.concatenate([[0], np.cumsum(self.n_a + self.n_b + self.n_links)]), _LINKS)
+
     def texts(self) -> list[str]:
         """Each segment's groups in writing: ids joined by commas, A's and B's by a bar, groups by semicolons."""
-        side = np.repeat([0, 1], [len(self.a), len(self.b)])
-        group = np.concatenate([self.group_a, self.group_b])
-        order = np.argsort(group << 1 | side, kind="stable")
-        ids, group, side = np.concatenate([self.a, self.b])[order], group[order], side[order]
-        mark = np.zeros(len(ids), np.int64)
-        mark[:-1] = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
-        at = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
-        mark[at[1:][self.valid] - 1] = 3
-        known, place = np.unique(ids << 2 | mark, return_inverse=True)
-        written = [f"{x >> 2}{(',', '|', ';', '')[x & 3]}" for x in known.tolist()]
-        parts = list(map(written.__getitem__, place.tolist()))
-        bounds = at.tolist()
-        return ["".join(parts[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
+        out = []
+        for i, j in self._chunks():
+            (a, group_a), (b, group_b) = ((ids[at[i] : at[j]], group[at[i] : at[j]]) for ids, group, at in ((self.a, self.group_a, self.at_a), (self.b, self.group_b, self.at_b)))
+            side = np.repeat([0, 1], [len(a), len(b)])
+            group = np.concatenate([group_a, group_b])
+            order = np.argsort(group << 1 | side, kind="stable")
+            ids, group, side = np.concatenate([a, b])[order], group[order], side[order]
+            mark = np.zeros(len(ids), np.int64)
+            mark[:-1] = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
+            at = np.concatenate([[0], np.cumsum((self.n_a + self.n_b)[i:j])])
+            mark[at[1:][self.valid[i:j]] - 1] = 3
+            known, place = np.unique(ids << 2 | mark, return_inverse=True)
+            written = [f"{x >> 2}{(',', '|', ';', '')[x & 3]}" for x in known.tolist()]
+            parts, bounds = list(map(written.__getitem__, place.tolist())), at.tolist()
+            out += ["".join(parts[k:m]) for k, m in zip(bounds, bounds[1:], strict=False)]
+        return out
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct pairs of the block as A's id << 32 | B's, bounds of each segment's links, the pair of each, how often it is in the segment)."""
+    def _links(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(links of each of the segments, their pairs as A's id << 32 | B's, how often each is in the segment)."""
         parts = []
-        for ids, group in ((self.a, self.group_a), (self.b, self.group_b)):
-            key, times = np.unique(group << 24 | ids, return_counts=True)
-            own = key >> 24
-            many = np.bincount(own, minlength=int(self.group_at[-1]))
+        low, groups = self.group_at[i], int(self.group_at[j] - self.group_at[i])
+        for ids, group, at in ((self.a, self.group_a, self.at_a), (self.b, self.group_b, self.at_b)):
+            key, times = np.unique((group[at[i] : at[j]] - low).astype(np.int64) << 24 | ids[at[i] : at[j]], return_counts=True)
+            many = np.bincount(key >> 24, minlength=groups)
             parts.append((key & 0xFFFFFF, times, many, np.cumsum(many) - many))
         (id_a, times_a, many_a, _), (id_b, times_b, many_b, first_b) = parts
-        of = np.repeat(np.arange(len(many_a)), many_a)
+        of = np.repeat(np.arange(groups), many_a)
         per = many_b[of]
         left, right = np.repeat(np.arange(len(id_a)), per), _spread(first_b[of], per)
-        known, pair = np.unique(id_a[left] << 32 | id_b[right], return_inverse=True)
-        segment = np.repeat(np.arange(len(self.n_groups)), self.n_groups)[of[left]]
-        key, place = np.unique(segment * max(1, len(known)) + pair, return_inverse=True)
-        times = np.zeros(len(key), np.int64)
-        np.add.at(times, place, times_a[left] * times_b[right])
-        at = np.searchsorted(key, np.arange(len(self.n_groups) + 1) * max(1, len(known)))
-        return known, at, key % max(1, len(known)), times
+        segment = np.repeat(np.arange(j - i), self.n_groups[i:j])[of[left]]
+        pair, times = id_a[left] << 32 | id_b[right], times_a[left] * times_b[right]
+        order = np.lexsort((pair, segment))
+        pair, segment, times = pair[order], segment[order], times[order]
+        first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(segment, prepend=-1) != 0))
+        times = np.add.reduceat(times, first) if len(first) else times
+        return np.bincount(segment[first], minlength=j - i), pair[first], times
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pairs of the block, bounds of each segment's links, the pair of each, how often it is in the segment)."""
+        none = [np.zeros(0, np.int64)]
+        many, pair, times = ([*none, *x] for x in zip(*(self._links(*c) for c in self._chunks()), strict=True)) if len(self.n_a) else (none, none, none)
+        known, place = np.unique(np.concatenate(pair), return_inverse=True)
+        return known, np.concatenate([[0], np.cumsum(np.concatenate(many))]), place.astype(np.int32), np.concatenate(times).astype(np.int32)
 
 
 class Documents:
@@ -275,7 +337,7 @@ class Documents:
         self.at = np.concatenate([[0], np.cumsum(self.sizes.to_numpy(zero_copy_only=False).astype(np.int64))])
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        return _sums(values[self.numbers], self.at)
+        return _picked_sums(values, self.numbers, self.at)
 
     def valid(self, segments: Segments) -> np.ndarray:
         return (self.sums((~segments.valid).astype(np.int64)) == 0) & (np.diff(self.at) > 0)
@@ -305,26 +367,23 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def _segments(codes: pa.Table) -> Segments:
-    return Segments(codes.column("number").combine_chunks().to_numpy(zero_copy_only=False), codes.column("code").combine_chunks())
-
-
 def _compose(block: pa.Table, codes: pa.Table) -> pa.Table:
-    docs, segments = Documents(block), _segments(codes)
+    docs, segments = Documents(block), Segments(codes)
     valid = docs.valid(segments)
     pairs, link_at, pair_of, times = segments.pairs()
-    digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in docs.texts(segments, valid)]
     counts = [_lists(docs.sums(x) * valid, pa.int64()) for x in (segments.n_a, segments.n_b, segments.n_groups, segments.n_links)]
     links = _zipped(np.concatenate([[len(link_at) - 1], np.diff(link_at), pair_of, times]))
+    held = docs.holders(valid, link_at, pair_of, len(pairs))
+    del link_at, pair_of, times
     sizes = pa.array(np.where(valid, np.diff(docs.at), -np.diff(docs.at)), pa.int32())
+    digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in docs.texts(segments, valid)]
     lists = [_lists(docs.keys, pa.int64()), *counts, pa.ListArray.from_arrays(pa.array([0, len(digests)], pa.int32()), pa.array(digests, pa.string())), _lists(sizes, pa.int32())]
-    held = docs.holders(valid, link_at, pair_of, len(pairs))
     columns = [pa.array([docs.block]), *lists, pa.array([docs.packed], pa.binary()), pa.array([links], pa.binary()), _lists(pairs, pa.int64()), _lists(held, pa.int32())]
     return pa.table(columns, [x.split()[0] for x in _COMPOSED.split(", ")])
 
 
 def _texts(block: pa.Table, codes: pa.Table) -> pa.Table:
-    docs, segments = Documents(block), _segments(codes)
+    docs, segments = Documents(block), Segments(codes)
     return pa.table([docs.keys, pa.array(docs.texts(segments, docs.valid(segments)), pa.string())], ["doc_id", "groups"])
 
 
@@ -338,7 +397,7 @@ def _score(block: pa.Table, scores: pa.Table) -> pa.Table:
     many, (pair_of, times) = links[1 : links[0] + 1], np.split(links[links[0] + 1 :], 2)
     link_at = np.concatenate([[0], np.cumsum(many)])
     doc_at = np.concatenate([[0], np.cumsum(np.abs(signed))])
-    totals = [_sums(_sums(times * x[pair_of], link_at)[numbers], doc_at) * (signed > 0) for x in (best, count)]
+    totals = [_picked_sums(_sums(times * x[pair_of], link_at), numbers, doc_at) * (signed > 0) for x in (best, count)]
     own = [block.column(x).combine_chunks().flatten() for x in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")]
     columns = [*own, *(pa.array(x, pa.int64()) for x in totals), block.column("groups_sha256").combine_chunks().flatten()]
     return pa.table(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
@@ -348,7 +407,7 @@ def _blocks_and_codes(docs: DataFrame, path_a: str, path_b: str, block_chars: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = stored(rows.mapInArrow(_number(path_a, path_b, block_chars), _BLOCKS), "segment-blocks")
     held = blocks.select(F.col("block").alias("home"), F.posexplode("segments").alias("number", "segment"))
-    codes = held.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(path_a, path_b), "home long, number int, code binary")
+    codes = held.repartition("segment").sortWithinPartitions("segment").mapInArrow(_align(path_a, path_b), "home long, steps binary, sizes binary, words binary")
     return blocks.select("block", "doc_ids", "sizes", "numbers"), codes
 
 
@@ -367,7 +426,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, block_chars: int
     its own, so repeated rows, and rows that share a doc_id or have none, count as often as they are there. An
     A id's pairs with the greatest count tie. An empty table gives an empty result.
 
-    What a task holds is a block: some 32 million characters, or one longer text, and its distinct segments. A segment
+    What a task holds is a block: some 16 million characters, or one longer text, and its distinct segments. A segment
     is in a block once, so no segment, pair or document has more rows in a shuffle than there are blocks.
     """
     blocks, codes = _blocks_and_codes(docs, path_a, path_b, block_chars)
