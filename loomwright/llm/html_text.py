@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -16,6 +17,10 @@ _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 _WORDS = re.compile(r"[a-z]+")
+#: Marks of an element: none, one by its name or role, one by words of its class or id or by being a form.
+_NONE, _HARD, _SOFT = 0, 1, 2
+#: A soft mark is void where it would leave less than this part of what it takes away.
+_LEAST_LEFT = 1 / 20
 
 #: Fixed values of HTML: elements whose content is raw text, elements without content, and elements that don't break a line.
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
@@ -25,7 +30,7 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main body".split())
 
 #: What is no article: by element, by role, and by the words of class and id.
-_AWAY = frozenset("nav header footer aside form button select dialog menu head object canvas audio video".split())
+_AWAY = frozenset("nav header footer aside button select dialog menu head object canvas audio video".split())
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _AWAY_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
@@ -33,6 +38,9 @@ _AWAY_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar widget "
     "widgets form search skip".split()
 )
+#: What a word of class or id may be joined to and still mean the part itself, and what before it means anything but that part.
+_PART_WORDS = frozenset("list box block wrap wrapper container area section bar button buttons link links slot unit left right top bottom inner outer item items panel group row column thread form icons holder content text".split())
+_NOT_WORDS = frozenset("no not non without with has have is hide".split())
 _MAIN = frozenset("article main".split())
 #: Words of class and id by which even an article is none.
 _MAIN_AWAY_WORDS = frozenset("comment comments reply ad ads advert related".split())
@@ -43,8 +51,9 @@ class Element:
     tag: str
     path: int
     parent: int
-    away: bool
+    mark: int
     link: bool
+    away: bool = False
 
 
 @dataclass
@@ -59,21 +68,32 @@ class Page:
     paths: list[tuple[int, str]] = field(default_factory=list)
 
 
-def _is_away(tag: str, attributes: str) -> bool:
+def _names(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id names one of ``words``: as a whole, as the last word of a compound that says what it is, or as the first of one that says which part of it."""
+    for token in value.split():
+        parts = _WORDS.findall(token)
+        if parts and parts[-1] in words and _NOT_WORDS.isdisjoint(parts[:-1]):
+            return True
+        if len(parts) > 1 and parts[0] in words and _PART_WORDS.issuperset(parts[1:]):
+            return True
+    return False
+
+
+def _mark(tag: str, attributes: str) -> int:
     if tag in _AWAY:
-        return True
+        return _HARD
+    found = _SOFT if tag == "form" else _NONE
     if not attributes.strip():
-        return False
+        return found
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "role" and value.strip() in _AWAY_ROLES:
-            return True
+            return _HARD
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        words = _MAIN_AWAY_WORDS if tag in _MAIN else _AWAY_WORDS
-        if name in ("class", "id") and tag not in ("body", "html") and not words.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            return _HARD
+        if name in ("class", "id") and tag not in ("body", "html") and _names(value, _MAIN_AWAY_WORDS if tag in _MAIN else _AWAY_WORDS):
+            found = _SOFT
+    return found
 
 
 class Stack:
@@ -141,8 +161,8 @@ def parse(source: str) -> Page:
     Tags left open are closed as HTML has it for paragraphs, list items and table cells. A tag or comment that the
     page ends in is no text; a quote without a second one is ignored.
     """
-    page = Page([Element("", 0, -1, False, False)], [], [(-1, "")])
-    stack, block, at, numbers, quotes = Stack(), 0, 0, {}, {'"': True, "'": True}
+    page = Page([Element("", 0, -1, _NONE, False)], [], [(-1, "")])
+    stack, block, at, quotes = Stack(), 0, 0, {'"': True, "'": True}
 
     def text(raw: str) -> None:
         if raw:
@@ -190,21 +210,60 @@ def parse(source: str) -> Page:
                 stack.start(tag)
             up = stack.open[-1][0]
             e = page.elements[up]
-            away = e.away or _is_away(tag, attributes)
-            path = numbers.setdefault((e.path, tag, away), len(page.paths))
-            if path == len(page.paths):
-                page.paths.append((e.path, tag))
-            page.elements.append(Element(tag, path, up, away, e.link or tag == "a"))
+            page.elements.append(Element(tag, 0, up, _mark(tag, attributes), e.link or tag == "a"))
             if not attributes.endswith("/"):
                 stack.push(len(page.elements) - 1, tag)
 
 
+def settle(page: Page) -> None:
+    """Tells for each element whether it is away, and numbers the paths.
+
+    A name or role always counts, and so does a soft mark, unless next to nothing would be left of the page without
+    what it marks: then it is the wrapper of the article, and the marks within it are judged in its place. The largest
+    go first, until one is found to leave enough.
+    """
+    elements = page.elements
+    own, hard = [0] * len(elements), [False] * len(elements)
+    #: The nearest soft mark around each element, or the root; what each soft mark has within it next.
+    soft, within = [0] * len(elements), {0: []}
+    for k, e in enumerate(elements):
+        if k:
+            hard[k] = hard[e.parent] or e.mark == _HARD
+            soft[k] = e.parent if elements[e.parent].mark == _SOFT else soft[e.parent]
+            if e.mark == _SOFT and not hard[k]:
+                within[k] = []
+                within[soft[k]].append(k)
+    for element, _, text in page.pieces:
+        if not hard[element] and not elements[element].link:
+            own[element] += len(text.strip())
+    free = {k: 0 for k in within}
+    for k, size in enumerate(own):
+        if not hard[k]:
+            free[k if k in within else soft[k]] += size
+    _up(page, own)
+    left, void, ahead = free[0], {0}, [(-own[k], k) for k in within[0]]
+    heapq.heapify(ahead)
+    while ahead and left < -ahead[0][0] * _LEAST_LEFT:
+        _, k = heapq.heappop(ahead)
+        void.add(k)
+        left += free[k]
+        for x in within[k]:
+            heapq.heappush(ahead, (-own[x], x))
+    numbers: dict[tuple[int, str, bool], int] = {}
+    for k, e in enumerate(elements[1:], 1):
+        up = elements[e.parent]
+        e.away = up.away or e.mark == _HARD or (e.mark == _SOFT and k not in void)
+        e.path = numbers.setdefault((up.path, e.tag, e.away), len(page.paths))
+        if e.path == len(page.paths):
+            page.paths.append((up.path, e.tag))
+
+
 def path_ratios(page: Page) -> dict[int, float]:
     """A score for each path from the root to a text.
 
     Length per text times marks per text, the less the more of it is links, is smoothed over the paths that stand next
     to it in the page and fused with what it was before smoothing. What is marked as menu, form, advert or the like
-    counts a tenth.
+    counts nothing.
     """
     length: dict[int, float] = {}
     marks: dict[int, float] = {}
@@ -259,6 +318,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = parse(source)
+    settle(page)
     scores = path_ratios(page)
     values = np.array(list(scores.values()))
     if not len(values) or values.max() <= 0:
