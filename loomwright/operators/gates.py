@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import blank, record_text
 from ..sources.files import license_named
+from ..storage import stored
 from . import similarity
 from .validate import LOCAL_ONLY, PLACEHOLDERS, SOURCES, SPLITS, duplicate_ids, record_issues, split_overlaps
 
@@ -75,6 +76,14 @@ def batch_issues(records: DataFrame, order: str, check_cjk: bool = True, check_n
     return out.unionByName(near.select(F.col("left_id").alias("record_id"), F.lit("leakage.cross_split_near_duplicate").alias("code"), F.lit("conversations/reference_answer").alias("field")))
 
 
+def batch_report(records: DataFrame, order: str, check_cjk: bool = True, threshold: float = NEAR) -> DataFrame:
+    """(ok, code, n): how many issues of each code a whole batch has, near duplicates across splits among them, and whether it has none; one row without a code for a batch without any."""
+    found = batch_issues(records, order, check_cjk, True, threshold).groupBy("code").agg(F.count("*").alias("n"))
+    counted = stored(found, "batch-issues")
+    clean = counted.agg(F.count("*").alias("k")).where("k = 0").select(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("code"), F.lit(0).cast("long").alias("n"))
+    return counted.select(F.lit(False).alias("ok"), "code", "n").unionByName(clean)
+
+
 def string_fields(schema: T.StructType) -> Column:
     """An array of (path, value) of every text in a row, however deep: a.b[0].c."""
 

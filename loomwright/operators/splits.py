@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,19 +15,53 @@ from pyspark.sql.window import Window
 from ..storage import stored
 
 
+#: Hexadecimal digits by which a selection narrows its candidates in a round, and candidates that the driver sorts.
+_DIGITS, _SORTED = 4, 4096
+
+
+def kth_digest(keys: DataFrame, k: int) -> tuple[str, Any] | None:
+    """The ``k``-th (digest, key) of distinct ``keys`` (digest as lower-case hexadecimal, key) in their order; None if there are fewer, or for k of 0.
+
+    Nothing is sorted or ranked: a round counts the candidates by their next digits, as many counts as those digits
+    have values, and goes on with those in the range that holds the k-th. When few are left they are sorted.
+    """
+    if k < 1:
+        return None
+    prefix = ""
+    while True:
+        some = keys.where(F.startswith("digest", F.lit(prefix)))
+        counts = dict(some.groupBy(F.substring("digest", len(prefix) + 1, _DIGITS).alias("next")).count().collect())
+        for value in sorted(counts):
+            if k <= counts[value]:
+                break
+            k -= counts[value]
+        else:
+            return None
+        prefix += value
+        if counts[value] <= _SORTED or not value:
+            left = keys.where(F.startswith("digest", F.lit(prefix))).select("digest", "key").orderBy("digest", "key").limit(k).collect()
+            return tuple(left[k - 1])
+
+
+def up_to(threshold: tuple[str, Any] | None) -> Column:
+    """Whether (digest, key) is at or before a result of ``kth_digest``."""
+    if threshold is None:
+        return F.lit(False)
+    digest, key = (F.lit(x) for x in threshold)
+    return (F.col("digest") < digest) | ((F.col("digest") == digest) & (F.col("key") <= key))
+
+
 def hash_fraction(rows: DataFrame, key: Column, fraction: float) -> DataFrame:
     """(key, heldout): distinct keys ordered by SHA-256, the first round(n * fraction) held out, at least one and never all.
 
-    Keys are ranked within the 256 ranges of the hash's first byte, after the ranges' counts, so no task ranks all.
-    The query fails where there are fewer than two keys.
+    The last key held out is found by selection (``kth_digest``). The query fails where there are fewer than two keys.
     """
-    keys = rows.select(key.alias("key")).distinct().withColumn("digest", F.sha2("key", 256)).withColumn("part", F.substring("digest", 1, 2))
-    counts = keys.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    ranked = keys.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("digest", "key")))
-    total = F.when(F.col("total") > 1, F.col("total")).otherwise(F.raise_error(F.lit("a split needs two keys at least")).cast("long"))
-    wanted = F.least(F.greatest(F.lit(1), F.bround(total * fraction)), total - 1)
-    return ranked.select("key", (F.col("rank") <= wanted).alias("heldout"))
+    keys = stored(rows.select(key.alias("key")).distinct().withColumn("digest", F.sha2("key", 256)), "keys")
+    total = keys.where("key is not null").count()
+    if total < 2:
+        raise ValueError("a split needs two keys at least")
+    wanted = min(max(1, round(total * fraction)), total - 1)
+    return keys.select("key", F.coalesce(up_to(kth_digest(keys, wanted)), F.lit(False)).alias("heldout"))
 
 
 def capped(rows: DataFrame, key: str, order: str, per_key: int = 0, limit: int = 0) -> DataFrame:
@@ -78,18 +113,16 @@ def blake2b_8(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def work_disjoint_split(records: DataFrame, ratios: dict[str, float], reserved: Column | None = None) -> DataFrame:
     """(source_work, split): works in the order of their BLAKE2b digests take the quotas of sft, reward and eval_heldout in turn; reserved works are all held out.
 
-    The table of works is what is ranked, within the 256 ranges of the digest's first byte and after the ranges'
-    counts; records are only aggregated.
+    Works are told apart by the digests of the last one of each quota, which are found by selection (``kth_digest``);
+    records are only aggregated.
     """
     named = records.where("trim(character) <> ''").withColumn("work", F.trim(F.coalesce(F.nullif("source_work", F.lit("")), "character")))
     groups = named.groupBy("work").agg(F.bool_or(reserved if reserved is not None else F.lit(False)).alias("reserved"))
-    open_ = stored(groups.where("not reserved").select("work", blake2b_8(F.col("work")).alias("digest")).withColumn("part", F.substring("digest", 1, 2)), "digests")
-    counts = open_.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("digest", "work"))
-    ranked = open_.join(F.broadcast(before), "part").withColumns({"rank": rank, "q": F.map_from_entries(hamilton(F.col("total"), ratios))})  # 256 ranges at most
-    first, second = F.col("q")["sft"], F.col("q")["sft"] + F.col("q")["reward"]
-    placed = ranked.select(F.col("work").alias("source_work"), F.when(F.col("rank") <= first, "sft").when(F.col("rank") <= second, "reward").otherwise("eval_heldout").alias("split"))
+    open_ = stored(groups.where("not reserved").select(F.col("work").alias("key"), blake2b_8(F.col("work")).alias("digest")), "digests")
+    total = open_.count()
+    quota = records.sparkSession.range(1).select(F.map_from_entries(hamilton(F.lit(total).cast("long"), ratios))).first()[0]
+    first, second = (up_to(kth_digest(open_, n)) for n in (quota["sft"], quota["sft"] + quota["reward"]))
+    placed = open_.select(F.col("key").alias("source_work"), F.when(first, "sft").when(second, "reward").otherwise("eval_heldout").alias("split"))
     return placed.unionByName(groups.where("reserved").select(F.col("work").alias("source_work"), F.lit("eval_heldout").alias("split")))
 
 

@@ -17,9 +17,11 @@ from ..operators import gates as K
 from ..operators import records as R
 from ..operators import splits as P
 from ..operators import validate as V
+from ..operators.raw_validate import raw_record_issues
 from ..sources.walk import record_like
 from ..storage import stored
 from .reward_queries import strip
+from .set_queries import near_ctes
 from .views import ctes, view
 
 SOURCE = "RoleBench"
@@ -231,6 +233,37 @@ def batch_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("code", "field").agg(F.count("*").alias("n"))
 
 
+def batch_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a whole batch, near duplicates between reward and held-out records included; codes of single records have queries of their own."""
+    rows = _typed(spark, sf_dir).withColumn("id", F.when(F.col("rid") % 50 == 1, "twice").otherwise(F.col("id")))
+    report = K.batch_report(rows, "rid")
+    return report.where(F.col("code").isin("schema.duplicate_id", "leakage.character_record_split_overlap", "leakage.source_work_record_split_overlap", "leakage.cross_split_near_duplicate"))
+
+
+_RAW_CASES = [
+    (0, None, None, ["schema.record_type|<record>"]), (1, "profile", None, ["schema.missing|profile"]), (2, "character_cluster", '"x"', ["schema.character_cluster|character_cluster"]), (3, "rejected_answer", "5", ["schema.rejected_answer|rejected_answer"]),
+    (4, "synth_meta", '"s"', ["schema.synth_meta|synth_meta"]), (5, "conversations", '[1, {"role": "user", "content": "x"}]', ["schema.conversation_turn|conversations[0]"]), (6, "gold_focus", '["Style", 3, "Style"]', ["label.type|gold_focus[1]", "label.duplicate|gold_focus[2]"]),
+    (7, "synth_meta", '{"generator": "g", "prompt_id": "p", "lore_sources": "x"}', ["provenance.lore_sources|synth_meta.lore_sources"]), (8, "id", "7", ["schema.non_empty_string|id"]), (9, "conversations", "{}", ["schema.conversations|conversations"]),
+    (10, "gold_focus", None, ["schema.missing|gold_focus", "label.gold_focus|gold_focus"]), (11, "character_cluster", "true", []), (12, "synth_meta", '{"generator": 1, "prompt_id": "p"}', ["provenance.synth_meta_field_missing|synth_meta.generator"]), (13, "conversations", '[{"role": 1, "content": null}]', ["schema.conversation_role|conversations[0].role", "schema.conversation_content|conversations[0].content"]),
+]
+_RAW_CODES = ["schema.record_type", "schema.missing", "schema.character_cluster", "schema.rejected_answer", "schema.synth_meta", "schema.conversation_turn", "schema.conversation_role", "schema.conversation_content", "schema.conversations", "label.type", "label.duplicate", "label.gold_focus", "provenance.lore_sources", "provenance.synth_meta_field_missing", "schema.non_empty_string"]
+
+
+def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of JSON records whose fields are missing or of other types, each in one way by its number."""
+    records = _records(spark, sf_dir).where("trim(id) <> '' and trim(reference_answer) <> '' and trim(question) <> ''")
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    parts = {"id": quoted("id"), "character": quoted("persona"), "source_work": quoted("source_work"), "character_cluster": F.lit("1"), "profile": quoted("profile"), "conversations": F.concat(F.lit('[{"role": "user", "content": '), quoted("question"), F.lit("}]")), "gold_focus": F.lit('["Style"]'), "gold_focus_attr": quoted("gold_focus_attr"), "reference_answer": quoted("reference_answer"), "rejected_answer": F.lit("null"), "source": F.lit('"RoleBench"'), "split": F.lit('"sft"'), "synth_meta": F.lit("null")}
+    kind = F.col("rid") % len(_RAW_CASES)
+    for k, field, value, _ in _RAW_CASES:
+        if field:
+            parts[field] = F.when(kind == k, F.lit(value).cast("string")).otherwise(parts[field])
+    written = [F.when(v.isNotNull(), F.concat(F.lit(f'"{name}": '), v)) for name, v in parts.items()]
+    body = F.when(kind == 0, F.lit("[1]")).otherwise(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*written)), ", "), F.lit("}")))
+    found = raw_record_issues(records.select("rid", F.parse_json(body).alias("record")), "rid", "record").select("rid", F.inline_outer("issues"))
+    return found.where(F.col("code").isin(_RAW_CODES))
+
+
 def ledger_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _records(spark, sf_dir).select("rid", F.col("persona").alias("source_id"), F.lit("MIT").alias("license"), F.lit(2).alias("file_count"))
     return K.ledger_entry(entries, "c5", "rid")
@@ -297,7 +330,7 @@ QUERIES = {
     for f in (
         bootstrap_records, bootstrap_skips, bootstrap_capped, published_records, heldout_rekeyed, heldout_candidates, normalized_seeds, assistant_answers, sft_chat_rows, sft_skips, grpo_chat_rows, rollout_seeds, merged_synthesis,
         schema_errors, record_texts, typed_choices, normal_forms, shown_replies, fenced_objects, completion_shapes, derived_marks, legal_overlap, batch_gold, record_shapes, local_only_records, split_table_issues, gold_gate_issues,
-        batch_issue_counts, ledger_lookup, gold_required, dry_model_scores, character_split_existing, character_works, map_merge, key_semi_join, doubled_entries, mcq_records, mcq_records_listed,
+        batch_issue_counts, batch_verdict, raw_issues, ledger_lookup, gold_required, dry_model_scores, character_split_existing, character_works, map_merge, key_semi_join, doubled_entries, mcq_records, mcq_records_listed,
     )
 }
 
@@ -390,6 +423,15 @@ select split_part(x, '|', 1) as code, nullif(split_part(x, '|', 2), '') as field
 select * from (select 'schema.duplicate_id' as code, 'id' as field, (select count(*) from n) - (select count(distinct key) from n) as n
 union all select 'leakage.character_record_split_overlap', 'character', count(*) from (select character from s where character is not null group by 1 having count(distinct split) > 1)
 union all select 'leakage.source_work_record_split_overlap', 'source_work', count(*) from (select source_work from s group by 1 having count(distinct split) > 1)) where n > 0""",
+    "batch_verdict": f"""{_GOOD_TYPED}, near as ({near_ctes("select rid as doc_id, split, concat_ws(chr(10), profile, gold_focus_attr, reference_answer, case when rid % 21 > 0 then who end, case when rid % 21 > 0 then case when rid % 20 = 0 then ' ' else question end end) as text from t where split in ('reward', 'eval_heldout')")}
+  select count(*) as n from f join t a on a.rid = f.a_id join t b on b.rid = f.b_id where score >= 0.88 and a.split <> b.split and case when a.rid % 50 = 1 then 'twice' else a.id end <> case when b.rid % 50 = 1 then 'twice' else b.id end),
+m as (select *, case when rid % 50 = 1 then 'twice' when {strip('id')} = '' then concat('row_', rid) else id end as key from t), s as (select * from m where split in ('sft', 'reward', 'eval_heldout'))
+select false as ok, * from (select 'schema.duplicate_id' as code, (select count(*) from m) - (select count(distinct key) from m) as n
+union all select 'leakage.character_record_split_overlap', count(*) from (select character from s where character is not null group by 1 having count(distinct split) > 1)
+union all select 'leakage.source_work_record_split_overlap', count(*) from (select source_work from s group by 1 having count(distinct split) > 1)
+union all select 'leakage.cross_split_near_duplicate', n from near) where n > 0""",
+    "raw_issues": f"""with {ctes('records')}, r as (select rid from records where trim(id) <> '' and trim(reference_answer) <> '' and trim(question) <> ''),
+x as (select rid, unnest(case rid % {len(_RAW_CASES)} {' '.join(f"when {k} then {issues or '[]::varchar[]'}" for k, _, _, issues in _RAW_CASES)} end) as x from r) select rid, split_part(x, '|', 1) as code, split_part(x, '|', 2) as field from x""",
     "ledger_lookup": f"with {ctes('records')} select min(rid) as rid, 'c5' as source_id, 'MIT' as license, 2 as file_count from records where persona = 'c5'",
     "gold_required": f"with {ctes('records')} select count(*) as rows, count(*) filter (rid % 7 = 0) as unscored, count(*) filter (rid % 7 = 0) = 0 as passed from records",
     "dry_model_scores": f"with {ctes('records')} select rid, null::double as score, 'dry_run' as status from records",

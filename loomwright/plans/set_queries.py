@@ -215,8 +215,11 @@ _CASES = [
 _ISSUE_LIST = ", ".join(f"case when {rule} then {{'code': '{code}', 'field': {field}}} end" for rule, code, field in _CASES)
 _ISSUES = f"with {ctes('records')}, broken as ({_BROKEN}), i as (select rid, unnest(list_filter([{_ISSUE_LIST}], lambda x: x is not null)) as x from broken), issues as (select rid, x.code as code, x.field as field from i)"
 _SPLIT = "split_part('sft,reward,eval_heldout', ',', (doc_id % 3)::int + 1)"
-_NEAR = f"""
-with n as materialized (select doc_id, {_SPLIT} as split, {_NORM('text')} as norm from documents),
+
+def near_ctes(source: str) -> str:
+    """CTEs that end in f, the pairs of ``source``, a query of (doc_id, split, text), with their similarity as score."""
+    return f"""
+with n as materialized (select doc_id, split, {_NORM('text')} as norm from ({source})),
 ch as (select doc_id, unnest(string_split(norm, '')) as c, unnest(range(length(norm))) as pos, length(norm) as len from n where norm <> ''),
 gr as (select doc_id, pos, len, case when len <= 5 then c else concat(c, lead(c, 1) over w, lead(c, 2) over w, lead(c, 3) over w, lead(c, 4) over w) end as g from ch window w as (partition by doc_id order by pos)),
 gl as materialized (select doc_id, list(distinct g) as grams from gr where len <= 5 or pos <= len - 5 group by doc_id),
@@ -229,6 +232,9 @@ c as (select *, case when an = bn then 'normalized_exact' when least(al, bl) >=
 k as (select *, case when reason = 'char_5gram_jaccard' then len(list_intersect(ag, bg)) else 0 end as common from c),
 f as (select *, case reason when 'normalized_exact' then 1.0 when 'normalized_containment' then least(al, bl) / greatest(al, bl) else common / (len(ag) + len(bg) - common) end::double as score from k)
 """
+
+
+_NEAR = near_ctes(f"select doc_id, {_SPLIT} as split, text from documents")
 _FIT = "(n_chars > 100 and lang <> 'es' and doc_id % 5 <> 0)"
 _REASONS = f"""with m as (select *, coalesce(sum({_FIT}::int) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as prior from documents),
 r as (select doc_id, case when not n_chars > 100 then 'unusable' when prior >= 8 then 'max_per_character' when lang = 'es' then 'leakage' when doc_id % 5 = 0 then 'missing_reference' else 'kept' end as reason from m),

@@ -224,13 +224,13 @@ def write_records(rows: DataFrame, path: str, issues: str | None = None, mode: s
     (writer.option("issues", issues) if issues else writer).save()
 
 
-def _text(value: Column) -> Column:
+def variant_str(value: Column) -> Column:
     """A variant as text, as Python writes it; null for a missing or null one."""
     shown = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
     return F.when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(shown)).when(~F.is_variant_null(value), shown)
 
 
-def _list(value: Column) -> Column:
+def variant_items(value: Column) -> Column:
     """The items of a variant list; none of anything else."""
     return F.coalesce(F.when(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>")), F.array().cast("array<variant>"))
 
@@ -238,17 +238,17 @@ def _list(value: Column) -> Column:
 def typed_record(record: Column) -> list[Column]:
     """The fields of a reward record, coerced from whatever types its JSON has: texts as written, a cluster that is no number as -2, lists that are none as empty, a missing review as false."""
     field = lambda name, of=record: F.try_variant_get(of, f"$.{name}", "variant")
-    text = lambda name, of=record: F.coalesce(_text(field(name, of)), F.lit(""))
+    text = lambda name, of=record: F.coalesce(variant_str(field(name, of)), F.lit(""))
     meta = field("synth_meta")
     reviewed = field("human_reviewed", meta)
     own = F.struct(
-        text("generator", meta).alias("generator"), text("prompt_id", meta).alias("prompt_id"), F.transform(_list(field("lore_sources", meta)), _text).alias("lore_sources"), _text(field("rejected_strategy", meta)).alias("rejected_strategy"),
+        text("generator", meta).alias("generator"), text("prompt_id", meta).alias("prompt_id"), F.transform(variant_items(field("lore_sources", meta)), variant_str).alias("lore_sources"), variant_str(field("rejected_strategy", meta)).alias("rejected_strategy"),
         F.when(reviewed.isNull(), False).when(F.schema_of_variant(reviewed) == "BOOLEAN", F.try_variant_get(reviewed, "$", "boolean")).alias("human_reviewed"),
     )
-    turns = F.transform(_list(field("conversations")), lambda t: F.struct(F.coalesce(_text(F.try_variant_get(t, "$.role", "variant")), F.lit("")).alias("role"), F.coalesce(_text(F.try_variant_get(t, "$.content", "variant")), F.lit("")).alias("content")))
+    turns = F.transform(variant_items(field("conversations")), lambda t: F.struct(F.coalesce(variant_str(F.try_variant_get(t, "$.role", "variant")), F.lit("")).alias("role"), F.coalesce(variant_str(F.try_variant_get(t, "$.content", "variant")), F.lit("")).alias("content")))
     out = {name: text(name) for name in ("id", "character", "source_work", "profile", "gold_focus_attr", "reference_answer", "source", "split")}
     cluster = F.coalesce(F.try_variant_get(field("character_cluster"), "$", "long"), F.try_variant_get(field("character_cluster"), "$", "double").cast("long"), F.lit(-2).cast("long"))
-    out |= {"character_cluster": cluster, "conversations": turns, "gold_focus": F.transform(_list(field("gold_focus")), _text), "rejected_answer": _text(field("rejected_answer")), "synth_meta": F.when(F.startswith(F.schema_of_variant(meta), F.lit("OBJECT")), own)}
+    out |= {"character_cluster": cluster, "conversations": turns, "gold_focus": F.transform(variant_items(field("gold_focus")), variant_str), "rejected_answer": variant_str(field("rejected_answer")), "synth_meta": F.when(F.startswith(F.schema_of_variant(meta), F.lit("OBJECT")), own)}
     return [c.alias(name) for name, c in out.items()]
 
 

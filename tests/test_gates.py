@@ -18,6 +18,7 @@ from loomwright.operators import gates as K
 from loomwright.operators import records as R
 from loomwright.operators import setups as U
 from loomwright.operators import splits as P
+from loomwright.operators.raw_validate import REQUIRED, raw_record_issues
 from loomwright.sources import files, inputs, walk
 
 
@@ -193,5 +194,38 @@ def test_grpo_rows_fail_on_schema_errors(spark):
 
 
 def test_a_split_needs_two_keys(spark):
-    with pytest.raises(PySparkException):
-        P.hash_fraction(spark.createDataFrame([("a",)], "k string"), F.col("k"), 0.5).collect()
+    with pytest.raises(ValueError, match="two keys"):
+        P.hash_fraction(spark.createDataFrame([("a",)], "k string"), F.col("k"), 0.5)
+
+
+@pytest.mark.parametrize("held", [1, 3, 4096])
+def test_the_kth_digest_is_selected_without_sorting_all(spark, monkeypatch, held):
+    monkeypatch.setattr(P, "_SORTED", held)
+    monkeypatch.setattr(P, "_DIGITS", 1)
+    keys = [hashlib.sha256(str(k).encode()).hexdigest()[:4] for k in range(300)]
+    rows = [(d, f"k{n}") for n, d in enumerate(keys)] + [("abcd", f"same{n}") for n in range(9)] + [("", "none"), ("a", "short")]
+    df = spark.createDataFrame(rows, "digest string, key string")
+    order = sorted(rows)
+    for k in (1, 2, 150, len(rows)):
+        assert P.kth_digest(df, k) == order[k - 1]
+    assert P.kth_digest(df, 0) is None and P.kth_digest(df, len(rows) + 1) is None
+
+
+def test_works_are_ordered_by_their_digests(spark):
+    """A stored order of 8-byte BLAKE2b digests: the first three of ten works, then two, then the rest."""
+    order = ["work-5", "work-0", "work-2", "work-7", "work-8", "work-4", "work-3", "work-6", "work-9", "work-1"]
+    order.sort(key=lambda w: hashlib.blake2b(w.encode(), digest_size=8).digest())
+    rows = [(f"c{k}", f"work-{k % 10}") for k in range(25)] + [("x", "kept back")]
+    got = P.work_disjoint_split(spark.createDataFrame(rows, "character string, source_work string"), {"sft": 0.3, "reward": 0.2, "eval_heldout": 0.5}, F.col("source_work") == "kept back")
+    split = {r.source_work: r.split for r in got.collect()}
+    assert [split[w] for w in order] == ["sft"] * 3 + ["reward"] * 2 + ["eval_heldout"] * 5 and split["kept back"] == "eval_heldout"
+
+
+def test_raw_records_name_what_is_missing_or_of_another_type(spark):
+    rows = spark.createDataFrame([(1, "null"), (2, '"text"'), (3, "{}"), (4, '{"gold_focus": [], "conversations": [null, {"role": "user"}], "synth_meta": null, "character_cluster": 1.5}')], "k long, json string").select("k", F.parse_json("json").alias("record"))
+    got = {r.k: [(x.code, x.field) for x in r.issues] for r in raw_record_issues(rows, "k", "record").collect()}
+    lone = [("schema.record_type", "<record>")]
+    assert got[1] == got[2] == lone
+    assert got[3] == [("schema.missing", f) for f in REQUIRED] + [("schema.conversations", "conversations"), ("label.gold_focus", "gold_focus")]
+    present = {"gold_focus", "conversations", "synth_meta", "character_cluster"}
+    assert got[4] == [("schema.missing", f) for f in REQUIRED if f not in present] + [("schema.character_cluster", "character_cluster"), ("schema.conversation_turn", "conversations[0]"), ("label.gold_focus", "gold_focus"), ("schema.conversation_content", "conversations[1].content")]
