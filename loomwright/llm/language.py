@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ def _alphabet() -> tuple[np.ndarray, int]:
 
 
 SYMBOLS, SIZE = _alphabet()
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(raw: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.llm import line_dedup, token_align, vector_codes
+from loomwright.llm.language import identify_languages
 from loomwright.llm.tokenizer_files import byte_bpe, piece_bpe
 
 DOCS = "doc_id long, text string, key_a string, n_lines string, block string"
@@ -210,3 +211,9 @@ def test_frequent_keys_count_documents(spark):
     rows = spark.createDataFrame([(k, "a\na\nb") for k in range(12)] + [(20, "A ")], "doc_id long, text string")
     assert sorted(r["n_docs"] for r in line_dedup.frequent_keys(rows).collect()) == [12, 13]
     assert line_dedup.drop_shared_lines(rows).agg(F.sum("n_dropped")).first()[0] == 37
+
+
+def test_numbers_that_look_like_letters_are_none(spark):
+    rows = [(k, "The cat and the dog. " * 3, "en") for k in range(12)] + [(100 + k, t, None) for k, t in enumerate(["½ ² ① Ⅷ", "١٢٣ 42", "a½", "é", "漢", "ʰ"])]
+    got = {r.doc_id: r.lang_pred for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[100 + k] == "und" for k in range(6)] == [True, True, False, False, False, False]
