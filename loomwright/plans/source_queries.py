@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import setups as U
 from ..sources import files, inputs
 from ..operators.validate import PLACEHOLDERS
-from ..sources.record_lines import load_records, write_records
+from ..sources.record_lines import first_records, load_records, write_records
 from ..sources.walk import discover_records, placeholders_within
 from ..storage import new_path
 from .build_queries import SQL as BUILD_SQL
@@ -123,6 +123,15 @@ def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.regexp_replace(F.get("errors", F.lit(0)), "^line [0-9]+: ", "").alias("error"), F.try_variant_get("record", "$.o_orderkey", "long").alias("key")).groupBy("error").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
 
 
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of many files one after another; most of the files are never opened."""
+    path = new_path(spark, "first-lines")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    write_records(orders.repartitionByRange(24, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    rows = first_records(spark, path, 1000)
+    return rows.select(*(F.try_variant_get("record", f"$.{c}", "long").alias(c) for c in orders.columns))
+
+
 def sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of JSON lines of nested records: keys in order at every level."""
     path = new_path(spark, "sorted")
@@ -152,7 +161,7 @@ def setup_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.status_table(_setup_rows(spark, sf_dir), U.missing_files(gone, allowed=True))
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, document_items, metric_items, discovered_records, expanded_inputs, numbered_lines, tolerant_lines, loaded_record_errors, broken_lines, sorted_lines, walked_documents, placeholders_anywhere, setup_scores, setup_slots, setup_statuses)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, document_items, metric_items, discovered_records, expanded_inputs, numbered_lines, tolerant_lines, loaded_record_errors, broken_lines, first_lines, sorted_lines, walked_documents, placeholders_anywhere, setup_scores, setup_slots, setup_statuses)}
 
 #: Children of a JSON value with their place and name, for DuckDB.
 _STEPS = """select w.*, unnest(range(json_array_length(w.v)::bigint)) as i, null as k, unnest(json_extract(w.v, '$[*]')) as child from w where json_type(w.v) = 'ARRAY' and not w.stop
@@ -172,6 +181,7 @@ SQL = {
     "loaded_record_errors": BUILD_SQL["schema_errors"],
     "broken_lines": """with l as (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'record must be a JSON object' when o_orderkey % 11 = 0 then 'invalid JSON: Expecting value' end as error, o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey % 13 = 0 as blank from orders)
 select error, count(*) as n, sum(case when error is null then k end)::bigint as keys from l where not blank group by error""",
+    "first_lines": "select o_orderkey, o_custkey from orders order by o_orderkey limit 1000",
     "sorted_lines": f"with {ctes('records')} select sha256(cast(to_json({{'body': {{'lost': rejected_answer, 'turns': [{{'content': question, 'role': 'user'}}]}}, 'persona': persona, 'rid': rid}}) as varchar)) as digest from records",
     "walked_documents": f"""with recursive {ctes('records')}, shapes as ({_SHAPES}), docs as (select rid % 3 as part, concat('[', string_agg(json, ', ' order by rid), ']')::json as v from shapes group by 1),
 w(part, place, v, stop) as (select part, ''::varchar, v, false from docs union all select part, concat(place, printf('%08d', i)), child, {_LIKE.format(v='child')} from ({_STEPS}))

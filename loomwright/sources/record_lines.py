@@ -23,8 +23,8 @@ from .files import SENT_SPLITS
 
 RANGE_BYTES = 64 << 20
 _CHUNK, _ROWS = 1 << 20, 8192
-_SCHEMA = "path string, start long, number long, offset long, json string, error string"
-_ARROW = pa.schema([("path", pa.string()), ("start", pa.int64()), ("number", pa.int64()), ("offset", pa.int64()), ("json", pa.string()), ("error", pa.string())])
+_SCHEMA = "path string, range long, start long, number long, offset long, json string, error string"
+_ARROW = pa.schema([("path", pa.string()), ("range", pa.int64()), ("start", pa.int64()), ("number", pa.int64()), ("offset", pa.int64()), ("json", pa.string()), ("error", pa.string())])
 
 
 def _store(path: str) -> tuple[stores.FileSystem, str]:
@@ -34,6 +34,7 @@ def _store(path: str) -> tuple[stores.FileSystem, str]:
 @dataclass
 class LineRange(InputPartition):
     path: str
+    number: int
     start: int
     end: int
 
@@ -82,8 +83,9 @@ class _Reader(DataSourceReader):
         given = options["path"]
         self.paths = json.loads(given) if given.startswith("[") else [given]
         self.size, self.counts = int(options.get("rangeBytes", RANGE_BYTES)), options.get("counts", "false").lower() == "true"
+        self.first, self.last = int(options.get("from", 0)), int(options.get("to", -1))
 
-    def partitions(self) -> list[LineRange]:
+    def ranges(self) -> list[LineRange]:
         out = []
         for path in self.paths:
             store, inner = _store(path)
@@ -93,8 +95,12 @@ class _Reader(DataSourceReader):
             found = [info] if info.type == stores.FileType.File else store.get_file_info(stores.FileSelector(inner, recursive=True))
             head = path[: len(path.rstrip("/")) - len(inner.rstrip("/"))]
             for file in sorted((x for x in found if x.type == stores.FileType.File and x.base_name[0] not in "._"), key=lambda x: x.path):
-                out += [LineRange(head + file.path, i, min(i + self.size, file.size)) for i in range(0, file.size, self.size)]
-        return out or [LineRange("", 0, 0)]
+                out += [(head + file.path, i, min(i + self.size, file.size)) for i in range(0, file.size, self.size)]
+        return [LineRange(path, k, i, j) for k, (path, i, j) in enumerate(out)]
+
+    def partitions(self) -> list[LineRange]:
+        out = self.ranges()
+        return out[self.first : self.last if self.last >= 0 else len(out)] or [LineRange("", 0, 0, 0)]
 
     def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
         rows, number = [], 0
@@ -107,14 +113,12 @@ class _Reader(DataSourceReader):
                 if offset == 0:
                     line = line.removeprefix(b"\xef\xbb\xbf")
                 if not self.counts and line.strip():
-                    rows.append((partition.path, partition.start, number, offset, *_judged(line.strip())))
+                    rows.append((partition.path, partition.number, partition.start, number, offset, *_judged(line.strip())))
                 if len(rows) >= _ROWS:
                     yield self._batch(rows)
                     rows = []
-        if self.counts:
-            rows.append((partition.path, partition.start, number, None, None, None))
-        if rows:
-            yield self._batch(rows)
+        rows.append((partition.path, partition.number, partition.start, number, None, None, None))
+        yield self._batch(rows)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -183,10 +187,10 @@ class _Writer(DataSourceWriter):
 
 
 class RecordLines(DataSource):
-    """Options: ``path`` (one, or a JSON list of them), ``rangeBytes``, ``counts`` (a row a range with its number of lines, nothing parsed); for writing ``path`` and ``issues``, a column that must be empty.
+    """Options: ``path`` (one, or a JSON list of them), ``rangeBytes``, ``from`` and ``to`` (ranges of the listing), ``counts`` (nothing parsed); for writing ``path`` and ``issues``, a column that must be empty.
 
-    A line belongs to the range that its first byte is in. ``number`` counts from 1 within the range; ``record_lines``
-    turns it into the line of the file. Lines end at line feeds; a byte order mark before the first is no part of it.
+    A line belongs to the range that its first byte is in. ``number`` counts from 1 within the range; a range's last row
+    has no offset and, as number, how many lines it has. ``record_lines`` turns numbers into lines of the file. Lines end at line feeds; a byte order mark before the first is no part of it.
     """
 
     @classmethod
@@ -213,10 +217,32 @@ def record_lines(spark: SparkSession, paths: str | list[str], range_bytes: int =
     counts = stored(reader.option("counts", "true").load().select("path", "start", "number"), "line-counts")
     before = counts.select("path", "start", (F.sum("number").over(Window.partitionBy("path").orderBy("start")) - F.col("number")).alias("before"))
     before = F.broadcast(before) if counts.count() <= SENT_SPLITS else before
-    rows = reader.option("counts", "false").load().join(before, ["path", "start"])
+    rows = reader.option("counts", "false").load().where("offset is not null").join(before, ["path", "start"])
     return rows.select("path", (F.col("before") + F.col("number")).alias("line"), F.try_parse_json("json").alias("record"), "error")
 
 
+def first_records(spark: SparkSession, paths: str | list[str], limit: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, line, record, error) of the first ``limit`` lines that aren't blank, one at least, of files one after another, each path's in the order of their names.
+
+    Ranges are read in the order of the files, each time as many as before, until they hold enough: twice what is
+    needed at most, whatever else there is. Each range says how many lines it has, so nothing is read to number them.
+    """
+    spark.dataSource.register(RecordLines)
+    options = {"path": json.dumps([paths] if isinstance(paths, str) else paths), "rangeBytes": str(range_bytes)}
+    total, parts, at, held, limit = len(_Reader(options).ranges()), [], 0, 0, max(1, limit)
+    while held < limit and at < max(total, 1):
+        to = max(1, 2 * at)
+        part = stored(spark.read.format("record_lines").options(**options).option("from", at).option("to", min(to, max(total, 1))).load(), "first-ranges")
+        parts.append(part)
+        held, at = held + part.where("offset is not null").count(), to
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    counts = rows.where("offset is null").select("range", (F.sum("number").over(Window.partitionBy("path").orderBy("range")) - F.col("number")).alias("before"))
+    some = rows.where("offset is not null").orderBy("range", "number").limit(limit).join(counts, "range")
+    return some.select("path", (F.col("before") + F.col("number")).alias("line"), F.try_parse_json("json").alias("record"), "error")
+
+
 def write_records(rows: DataFrame, path: str, issues: str | None = None, mode: str = "append") -> None:
     """JSON lines with keys sorted at every level. With ``issues``, nothing is left if a row has any."""
     rows.sparkSession.dataSource.register(RecordLines)

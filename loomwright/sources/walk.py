@@ -94,8 +94,9 @@ def texts_within(rows: DataFrame, key: str, record: str) -> DataFrame:
         held = boxes.lateralJoin(spark.tvf.variant_explode(F.col("box").outer()))
         step = F.when(F.schema_of_variant("box").startswith("ARRAY"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("above") == "", F.col("key_in")).otherwise(F.concat(F.lit("."), F.col("key_in")))
         named = held.toDF("key", "above", "box", "pos", "key_in", "value")
-        now = stored(named.select("key", F.concat("above", step).alias("field"), "value"), "json-texts")
-        levels.append(now)
+        level = stored(named.select("key", F.concat("above", step).alias("field"), F.to_json("value").alias("json")), "json-texts")
+        levels.append(level)
+        now = level.select("key", "field", F.parse_json("json").alias("value"))
     out = texts[0]
     for level in texts[1:]:
         out = out.unionByName(level)

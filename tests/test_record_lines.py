@@ -88,3 +88,21 @@ def test_a_failed_write_leaves_nothing_and_an_overwrite_only_its_own(spark, tmp_
     assert sorted(x.name for x in path.iterdir()) == before
     L.write_records(rows.selectExpr("id", "array() as issues"), str(path), "issues", "overwrite")
     assert sorted(r.id for r in spark.read.json(str(path)).collect()) == list(range(100)) and (path / "_SUCCESS").exists()
+
+
+def test_first_records_read_twice_what_they_need_at_most(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"f{k:02d}.jsonl").write_text("".join(f'{{"n": {k * 10 + i}}}\n' + "\n" * (i % 3 == 0) for i in range(10)))
+    tables = []
+    keep = L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: tables.append(keep(df, name)) or tables[-1])
+    for limit, size, needed in ((25, 1 << 20, 3), (1, 1 << 20, 1), (0, 1 << 20, 1), (35, 40, 15), (400, 1 << 20, 40), (900, 1 << 20, 40)):
+        tables.clear()
+        rows = L.first_records(spark, str(tmp_path), limit, size).select(F.try_variant_get("record", "$.n", "long").alias("n"), "path", "line").collect()
+        assert sorted(r.n for r in rows) == list(range(min(max(limit, 1), 400)))
+        for r in rows:
+            lines = (tmp_path / r.path.rsplit("/", 1)[1]).read_text().split("\n")
+            assert json.loads(lines[r.line - 1]) == {"n": r.n}
+        assert sum(t.select("range").distinct().count() for t in tables) <= 2 * needed
+    (tmp_path / "none").mkdir()
+    assert L.first_records(spark, str(tmp_path / "none"), 5).count() == 0
