@@ -19,6 +19,7 @@ _SOCIAL_CUES = "final{w}+answer|correct{w}+answer|answer|option|choice|label|最
 _WRAP = r""" \t\r\n.。,:：;；!！?？()\[\]{}<>"'`“”‘’【】"""
 
 
+#: The patterns of a choice in free text, from the surest to the weakest.
 def general_patterns(ws: str = PY_WS) -> list[str]:
     """In order of trust: boxed, tagged, after a cue, on its own."""
     w = f"[{ws}]"
@@ -26,6 +27,7 @@ def general_patterns(ws: str = PY_WS) -> list[str]:
     return [rf"(?iu)\\boxed{w}*\{{{w}*([A-D1-4]){w}*\}}", rf"(?iu)<answer>{w}*([A-D1-4]){w}*</answer>", cue, r"(?iu)(?<![A-Z0-9])([A-D1-4])(?![A-Z0-9])"]
 
 
+#: The patterns of a choice in social questions, from the surest to the weakest.
 def social_patterns(ws: str = PY_WS) -> list[str]:
     w = f"[{ws}]"
     cue = rf"(?iu)(?:{_SOCIAL_CUES.format(w=w)}){w}*(?:is|as|=|:|：|-|为|是|应该是|应为)?{w}*(?:option|choice|选项)?{w}*[\(\[（【]?{w}*([A-D1-4]){w}*[\)\]）】]?"
@@ -86,6 +88,7 @@ def typed_choice_of_scalar(value: Column) -> Column:
     return F.when(kind == "STRING", general_choice(F.try_variant_get(value, "$", "string"), normalized=True)).when(kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")), whole)
 
 
+#: What may stand around a choice.
 def unwrapped(text: Column) -> Column:
     ws = PY_WS
     start = F.regexp_replace(py_strip(text), rf"""^[{ws}'"`“”‘’(\[{{（【]+""", "")
@@ -117,6 +120,7 @@ def canonical(text: Column) -> Column:
     return F.lower(squash(text))
 
 
+#: What may stand around a label.
 def answer_label(value: Column, choices: Column, from_list: Column) -> Column:
     """A letter for a letter, a digit (0-based only for listed choices), or the text of a choice; else empty."""
     text = py_strip(F.coalesce(value, F.lit("")))
@@ -129,6 +133,7 @@ def answer_label(value: Column, choices: Column, from_list: Column) -> Column:
     return F.when(text == "", F.lit("")).otherwise(label)
 
 
+#: The head of a prompt.
 def mcq_prompt(question: Column, choices: Column) -> Column:
     lines = [F.when(F.map_contains_key(choices, x), F.concat(F.lit(f"{x}. "), choices[x])) for x in LETTERS]
     head = F.concat(F.lit("请回答以下单项选择题。只输出一个大写字母 A/B/C/D，不要解释。\n\n题目: "), question)

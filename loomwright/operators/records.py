@@ -151,13 +151,15 @@ def number_kept(rows: DataFrame, order: Column, prefix: str) -> DataFrame:
 
 
 def fit_turns(turns: Column, budget: Column, system: bool = True) -> Column:
-    """The system turn and the longest run of last turns whose characters fit the budget; null if not even the last turn does."""
+    """The system turn and the longest run of last turns whose characters fit the budget; null if not even the last turn does. Sums run once from the last turn back; a turn without content fits no budget."""
     lead = F.slice(turns, 1, 1) if system else F.array().cast(TURN)
     dialogue = F.slice(turns, 2, F.greatest(F.size(turns) - 1, F.lit(0))) if system else turns
-    width = lambda a: F.aggregate(a, F.lit(0), lambda n, t: n + F.length(t["content"]))
-    sums = F.transform(F.sequence(F.lit(1), F.greatest(F.size(dialogue), F.lit(1))), lambda k: F.when(width(F.slice(dialogue, -k, k)) + width(lead) <= budget, k))
-    keep = F.array_max(sums)
-    return F.when((F.size(dialogue) > 0) & keep.isNotNull(), F.concat(lead, F.slice(dialogue, -keep, keep)))
+    width = lambda t: F.coalesce(F.length(t["content"]).cast("long"), F.lit(1 << 40))
+    start = F.aggregate(lead, F.lit(0).cast("long"), lambda n, t: n + width(t))
+    zero = F.struct(start.alias("total"), F.lit(0).alias("kept"))
+    step = lambda n, t: F.struct((n["total"] + width(t)).alias("total"), (n["kept"] + F.when(n["total"] + width(t) <= budget, 1).otherwise(0)).alias("kept"))
+    keep = F.aggregate(F.reverse(dialogue), zero, step, lambda n: n["kept"])
+    return F.when(keep > 0, F.concat(lead, F.slice(dialogue, -F.greatest(keep, F.lit(1)), keep)))
 
 
 def truncate(text: Column, limit: int = 1200) -> Column:
