@@ -91,10 +91,10 @@ def expanded_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line numbers of a file that many tasks read: each once, in the order of the rows."""
+    """Line numbers through files that many tasks write and read, each a range of the rows: each once, in the order of the rows."""
     path = new_path(spark, "lines")
-    table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("value")).coalesce(1).sortWithinPartitions(F.col("value").cast("long")).write.text(path)
-    return files.numbered_lines(spark, path).select(F.col("line").cast("long").alias("line"), F.col("value").cast("long").alias("o_orderkey"))
+    table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").select(F.col("o_orderkey").cast("string").alias("value")).write.text(path)
+    return files.numbered_lines(spark, path, through=True).select(F.col("line").cast("long").alias("line"), F.col("value").cast("long").alias("o_orderkey"))
 
 
 def tolerant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,18 +20,19 @@ SUFFIXES = {"data": ["json", "jsonl", "parquet"], "eval": ["json", "jsonl", "par
 SENT_SPLITS = 100_000
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, line, value) of text files, lines numbered from 1 within their file.
+def numbered_lines(spark: SparkSession, paths: str | list[str], through: bool = False) -> DataFrame:
+    """(path, line, value) of text files, lines numbered from 1 within their file; with ``through`` from one file on to the next, in the order of their paths.
 
     A large file is read by many tasks: each split's lines are counted, and a running sum over a file's splits gives
     where its numbers begin. That table, a row for each split, is sent to the tasks while it is small.
     """
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
     sums = raw.groupBy("path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = stored(sums.select("path", "split", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")).alias("before")), "splits")
+    ahead = Window.orderBy("path", "split") if through else Window.partitionBy("path").orderBy("split")  # a row for each split
+    before = stored(sums.select("path", "split", "first", (F.sum("n").over(ahead) - F.col("n")).alias("before")), "splits")
     before = F.broadcast(before) if before.count() <= SENT_SPLITS else before
     line = (F.col("before") + F.col("at") - F.col("first") + 1).alias("line")
-    return raw.join(before, ["path", "split"]).select("path", line, F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
+    return raw.join(before, ["path", "split"]).select("path", line, F.when((F.col("split") == 0) & (F.col("at") == F.col("first")), F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:

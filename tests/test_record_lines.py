@@ -106,3 +106,21 @@ def test_first_records_read_twice_what_they_need_at_most(spark, tmp_path, monkey
         assert sum(t.select("range").distinct().count() for t in tables) <= 2 * needed
     (tmp_path / "none").mkdir()
     assert L.first_records(spark, str(tmp_path / "none"), 5).count() == 0
+
+
+def test_small_ranges_share_tasks(tmp_path):
+    """A task for each range of a large file would be as many tasks as ranges."""
+    path = tmp_path / "lines.jsonl"
+    path.write_text("".join(f'{{"k": {k}, "x": "{"y" * 90}"}}\n' for k in range(2000)))
+    reader = L._Reader({"path": f"file://{path}", "rangeBytes": "1000"})
+    parts = reader.partitions()
+    assert len(reader.ranges()) > 150 and len(parts) == 1
+    lines = [x for b in reader.read(parts[0]) for x in b.column("json").to_pylist() if x]
+    assert len(lines) == 2000
+
+
+def test_lines_are_numbered_through_files_in_their_order(spark, tmp_path):
+    for k, lines in enumerate((["a", "b"], [], ["c"], ["d", "e"])):
+        (tmp_path / f"part-{k}.txt").write_text("".join(x + "\n" for x in lines))
+    rows = files.numbered_lines(spark, str(tmp_path), through=True)
+    assert [(r.line, r.value) for r in rows.orderBy("line").collect()] == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
