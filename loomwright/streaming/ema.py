@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +22,23 @@ def step(count: int, mean: float, square: float, value: float, decay: float = DE
     return out, (count + 1, decay * mean + (1 - decay) * value, decay * square + (1 - decay) * value * value)
 
 
-def _fold(rows: Iterator[pd.DataFrame], state: tuple[int, float, float]) -> tuple[list[pd.DataFrame], tuple[int, float, float]]:
-    out = []
-    for frame in rows:
-        normal = []
-        for value in frame["value"]:
-            score, state = step(*state, float(value))
-            normal.append(score)
-        out.append(frame.assign(normalized=normal))
-    return out, state
+#: Rows of a key that are normalised and given back at once.
+CHUNK = 10_000
+
+
+class _Held:
+    """A key's rows of a micro-batch, sorted: 16 bytes each, and as many again while they are put in order."""
+
+    def __init__(self, frames: Iterator[pd.DataFrame]):
+        parts = [(frame["ord"].to_numpy(np.int64, copy=True), frame["value"].to_numpy(np.float64, copy=True)) for frame in frames]
+        self.order, self.values = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        del parts
+        at = np.argsort(self.order, kind="stable")
+        self.order, self.values = self.order[at], self.values[at]
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.order), CHUNK):
+            yield self.order[i : i + CHUNK], self.values[i : i + CHUNK]
 
 
 def normalize_batch(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -57,9 +66,13 @@ def normalize_stream(rows: DataFrame, key: str, order: str, value: str) -> DataF
     slim = rows.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), F.col(value).cast("double").alias("value")).where("value is not null")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values("ord", kind="stable")
-        out, now = _fold(iter([frame]), state.get if state.exists else (0, 0.0, 0.0))
+        now = state.get if state.exists else (0, 0.0, 0.0)
+        for order, values in _Held(frames).chunks():
+            normal = []
+            for value in values.tolist():
+                score, now = step(*now, value)
+                normal.append(score)
+            yield pd.DataFrame({"key": key[0], "ord": order, "value": values, "normalized": normal})
         state.update(now)
-        yield from out
 
     return slim.groupBy("key").applyInPandasWithState(run, "key string, ord long, value double, normalized double", "n long, mean double, square double", "append", GroupStateTimeout.NoTimeout)

@@ -77,3 +77,18 @@ def test_an_append_stream_goes_on_after_a_restart(spark, tmp_path):
         df.where(f"id >= {low} and id < {high}").write.mode("append").parquet(str(tmp_path / "in"))
         ledger.append_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "state")).awaitTermination()
     assert sorted(r.id for r in ledger.rows().collect()) == list(range(20))
+
+
+def test_a_key_is_held_in_few_bytes(monkeypatch):
+    """Frames of a key are let go of as they come; what is held is its order and values, given back in chunks."""
+    import numpy as np
+    import pandas as pd
+
+    from loomwright.streaming import ema
+
+    monkeypatch.setattr(ema, "CHUNK", 4)
+    frames = (pd.DataFrame({"key": ["k"] * 5, "ord": np.arange(5, dtype=np.int64)[::-1] + 5 * k, "value": np.full(5, float(k))}) for k in (1, 0))
+    held = ema._Held(frames)
+    assert [x for order, _ in held.chunks() for x in order] == list(range(10))
+    assert max(len(order) for order, _ in held.chunks()) == 4
+    assert held.order.nbytes + held.values.nbytes == 10 * 16
