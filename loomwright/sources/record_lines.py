@@ -31,6 +31,10 @@ def _store(path: str) -> tuple[stores.FileSystem, str]:
     return stores.FileSystem.from_uri(path)
 
 
+#: Ranges smaller than this are read several by a task, so that tasks grow with the bytes of the files and not with the number of ranges.
+TASK_BYTES = 8 << 20
+
+
 @dataclass
 class LineRange(InputPartition):
     path: str
@@ -39,6 +43,13 @@ class LineRange(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Consecutive ranges that one task reads."""
+
+    ranges: list[LineRange]
+
+
 def _lines(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, line) of the lines that begin in the range; the last one is read to its end."""
     at = start
@@ -98,14 +109,23 @@ class _Reader(DataSourceReader):
                 out += [(head + file.path, i, min(i + self.size, file.size)) for i in range(0, file.size, self.size)]
         return [LineRange(path, k, i, j) for k, (path, i, j) in enumerate(out)]
 
-    def partitions(self) -> list[LineRange]:
-        out = self.ranges()
-        return out[self.first : self.last if self.last >= 0 else len(out)] or [LineRange("", 0, 0, 0)]
-
-    def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Ranges]:
+        some, out, held = self.ranges(), [], 0
+        for one in some[self.first : self.last if self.last >= 0 else len(some)]:
+            size = one.end - one.start
+            if not out or held + size > TASK_BYTES:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].ranges.append(one)
+            held += size
+        return out or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self._read(one)
+
+    def _read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
         rows, number = [], 0
-        if not partition.path:
-            return
         store, inner = _store(partition.path)
         with store.open_input_file(inner) as stream:
             for offset, line in _lines(stream, partition.start, partition.end):
