@@ -97,3 +97,16 @@ def test_answer_labels(spark):
     choices = F.create_map(*(F.lit(x) for x in ("A", "opt one", "B", "opt two", "C", "x", "D", "y")))
     got = spark.createDataFrame(rows, "v string, listed boolean, want string").select(M.answer_label(F.col("v"), choices, F.col("listed")).alias("r"), "want").collect()
     assert [r.r for r in got] == [r.want for r in got]
+
+
+def test_normalised_columns_share_one_python_node(spark):
+    """Iterators of batches would have a node, and so a Python worker a task, each."""
+    rows = spark.createDataFrame([("Ａ b!", "ẞ－x", None)], "a string, b string, c string")
+    out = rows.select(*(normalize_text(F.col(x)).alias(x) for x in "abc"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert tuple(out.first()) == ("ab", "ssx", None)
+
+
+def test_text_with_many_dropped_characters(spark):
+    marks = "".join(chr(c) for c in range(0x2190, 0x2400))
+    assert column(spark, [f"{marks}É{marks}b c"], normalize_text) == ["ébc"]
