@@ -229,3 +229,9 @@ def test_raw_records_name_what_is_missing_or_of_another_type(spark):
     assert got[3] == [("schema.missing", f) for f in REQUIRED] + [("schema.conversations", "conversations"), ("label.gold_focus", "gold_focus")]
     present = {"gold_focus", "conversations", "synth_meta", "character_cluster"}
     assert got[4] == [("schema.missing", f) for f in REQUIRED if f not in present] + [("schema.character_cluster", "character_cluster"), ("schema.conversation_turn", "conversations[0]"), ("label.gold_focus", "gold_focus"), ("schema.conversation_content", "conversations[1].content")]
+
+
+def test_markers_of_gold_records(spark):
+    said = ["TBD", "Fixme", "待填", "示例文本", "do_not_use", "a Template", "not_a_gold_record", "待填写", "占位", "atodod", "fill_me", "placeholder"]
+    rows = spark.createDataFrame([(str(k), [x]) for k, x in enumerate(said)], "id string, text array<string>")
+    assert {(r.id, r.field) for r in K.placeholders(rows, "id").collect()} == {(str(k), "text[0]") for k in range(4, len(said))}
