@@ -235,3 +235,21 @@ def test_markers_of_gold_records(spark):
     said = ["TBD", "Fixme", "待填", "示例文本", "do_not_use", "a Template", "not_a_gold_record", "待填写", "占位", "atodod", "fill_me", "placeholder"]
     rows = spark.createDataFrame([(str(k), [x]) for k, x in enumerate(said)], "id string, text array<string>")
     assert {(r.id, r.field) for r in K.placeholders(rows, "id").collect()} == {(str(k), "text[0]") for k in range(4, len(said))}
+
+
+def test_the_gold_report_is_the_whole_gate(spark):
+    turns, meta = [("user", "你好，请问今天的天气怎么样呢？")], ("g", "p", None, True)
+    good = dict(character="甲", source_work="作", profile="一个角色", conversations=turns, gold_focus=["Style"], gold_focus_attr="说话简短", reference_answer="今天的天气很好，适合出门走一走。", rejected_answer=None, source="RoleBench", split="sft", synth_meta=meta, path="/x/gold.jsonl")
+    kind = "order long, id string, character string, source_work string, profile string, conversations array<struct<role:string,content:string>>, gold_focus array<string>, gold_focus_attr string, reference_answer string, rejected_answer string, source string, split string, synth_meta struct<generator:string,prompt_id:string,rejected_strategy:string,human_reviewed:boolean>, path string"
+
+    def report(*changes, least=1):
+        rows = [{"order": k, "id": f"r{k}"} | good | change for k, change in enumerate(changes)]
+        return tuple(K.gold_report(spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in rows], kind), "order", least=least).collect()[0])
+
+    assert report({}, {}) == (2, 0, 0, "")
+    assert report({"synth_meta": ("g", "p", None, None)}, {"profile": "TEMPLATE 角色"}, least=3) == (2, 0, 1, "gate.human_reviewed_false:1,gate.placeholder_marker:1,gate.too_few_records:1")
+    local = "local_only.hsr_id_prefix:1,local_only.hsr_split:1,local_only.path:1,local_only.source_work_marker:1"
+    assert report({"id": "same", "source": "HSR-canon"}, {"id": "same", "path": "/x/a_Template.jsonl"}) == (2, 0, 0, f"gate.template_input:1,{local},schema.duplicate_id:1")
+    other = {"character": "乙", "source_work": "集", "split": "eval_heldout"}
+    assert report({"split": "reward", "id": " "}, other | {"id": " "}) == (2, 2, 0, "leakage.cross_split_near_duplicate:1,schema.non_empty_string:2")
+    assert report({"split": "reward"}, {"reference_answer": "不行。"}, {"source_work": " "}, {"split": "reward", "source_work": " "}) == (4, 2, 0, "leakage.character_record_split_overlap:1,leakage.source_work_record_split_overlap:1,schema.non_empty_string:2")
